@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .idfiles import read_ids, write_ids
 from .packing import pack_documents
+from .quality import judge_quality
 from .sharding import shard_documents
 
 #: The vocabulary file that the queries use; operators take it as a parameter.
@@ -41,3 +42,8 @@ def op9_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
