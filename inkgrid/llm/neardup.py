@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, partitions
 from .components import components
+from .setcheck import common_items
 from .words import _GOLD, mix, shingles, word_hashes
 
-#: Members that are checked against one copy of their leader's set.
-CHUNK = 64
-
 
 def super_minhash(elements: np.ndarray, owner: np.ndarray, n_docs: int, m: int) -> np.ndarray:
     """SuperMinHash signatures (n_docs x m) of many sets at once.
@@ -107,45 +105,6 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "cls long, items binary")
 
 
-_CHECKED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
-
-
-def _check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, common, total) of pairs (u, v) of classes, on full sets.
-
-    A leader u with very many members v gets a copy of its set for each CHUNK of
-    them; a task reads a leader's set and then streams its members' sets."""
-    count = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("n"))
-    dealt = pairs.join(count, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("n")).alias("chunk"))
-    leaders = dealt.select("u", "chunk").distinct().select(F.col("u").alias("cls"), "u", "chunk", F.lit(0).alias("kind"))
-    asked = leaders.union(dealt.select(F.col("v").alias("cls"), "u", "chunk", F.lit(1).alias("kind")))
-    rows = sets.join(asked, "cls").select("u", "chunk", "kind", "cls", "items")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leaders = None, []
-        for b in batches:
-            out = []
-            columns = (b.column(c).to_pylist() for c in ("u", "chunk", "kind", "cls", "items"))
-            for u, chunk, kind, v, items in zip(*columns, strict=True):
-                own = np.frombuffer(items, np.uint64)
-                if (u, chunk) != group:
-                    group, leaders = (u, chunk), []
-                if kind == 0:
-                    leaders.append(own)
-                    continue
-                for leader in leaders:  # more than one only if rows share a doc_id
-                    small, large = (own, leader) if len(own) < len(leader) else (leader, own)
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    common = int((large[at] == small).sum())
-                    out.append((u, v, common, len(own) + len(leader) - common))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CHECKED.types, strict=True)], schema=_CHECKED)
-
-    dealt_out = rows.repartition(partitions(pairs.sparkSession), "u", "chunk").sortWithinPartitions("u", "chunk", "kind")
-    return dealt_out.mapInArrow(run, "u long, v long, common long, total long")
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, m: int = 128, rows: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -180,7 +139,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     involved = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
     texts = rows_in.join(involved, "doc_id").select(F.col("doc_id").alias("cls"), "text")
     sets = space.write(_sets(texts, shingle), "sets")
-    checked = space.write(_check(pairs, sets), "checked-0")
+    checked = space.write(common_items(pairs, sets), "checked-0")
     linked = f"100 * common >= {int(percent)} * total"
     comps = components(checked.where(linked).select("u", "v"), space, "components-0")
     turn, reach, far = 0, 1, 1 - percent / 100 + 1e-9
@@ -207,7 +166,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         turn += 1
         fresh = space.write(fresh, f"pairs-{turn}")
         if not fresh.isEmpty():
-            checked = space.write(checked.union(_check(fresh, sets)), f"checked-{turn}")
+            checked = space.write(checked.union(common_items(fresh, sets)), f"checked-{turn}")
             space.drop(f"checked-{turn - 1}")
             comps = components(checked.where(linked).select("u", "v"), space, f"components-{turn}")
         elif ranked.where(F.col("rank") > reach).isEmpty():

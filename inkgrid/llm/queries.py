@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .idfiles import read_ids, write_ids
+from .linededup import join_lines
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import judge_quality
@@ -53,3 +54,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_lines(table(spark, sf_dir, "documents"))[0].drop("cls")
