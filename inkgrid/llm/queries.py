@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import find_leaks
 from .idfiles import read_ids, write_ids
 from .linededup import join_lines
 from .neardup import near_duplicates
@@ -59,3 +60,8 @@ def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_lines(table(spark, sf_dir, "documents"))[0].drop("cls")
+
+
+@query
+def op10_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
