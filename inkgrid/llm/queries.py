@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontam import find_leaks
+from .htmltext import extract_text
 from .idfiles import read_ids, write_ids
 from .linededup import join_lines
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import judge_quality
 from .sharding import shard_documents
+from .warc import read_pages, write_pages
 
 #: The vocabulary file that the queries use; operators take it as a parameter.
 VOCABULARY = "byte_bpe_50k.json"
@@ -65,3 +67,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_warc_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_pages(*write_pages(table(spark, sf_dir, "pages"))).drop("payload", "url")
+
+
+@query
+def op3_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
