@@ -230,13 +230,13 @@ def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
 
 def drop_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the lines marked as removed; all other columns as they
-    are. A document none of whose lines with words is left goes; others, also
-    those without words from the start, stay. A null text stays null."""
-    gone = lines.where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_doc")
+    are. A document that had lines of enough words and keeps none of them goes;
+    others, also those without words from the start, stay. A null text stays null."""
+    gone = lines.groupBy("doc_id").agg(F.collect_set(F.when(F.col("removed"), F.col("line_no"))).alias("_gone"), F.count_if(~F.col("removed")).alias("_left"))
+    gone = gone.where(F.size("_gone") > 0).withColumnRenamed("doc_id", "_doc")
     split = F.split(F.col(text), "\n", -1)
     left = F.filter(F.transform(split, lambda line, i: F.struct(line.alias("line"), F.array_contains("_gone", i).alias("gone"))), lambda x: ~x["gone"])
     kept = F.array_join(F.transform(left, lambda x: x["line"]), "\n")
-    out = docs.join(gone, docs[key].eqNullSafe(gone["_doc"]), "left")
+    out = docs.join(gone, docs[key].eqNullSafe(gone["_doc"]), "left").where("_left is null or _left > 0")
     out = out.withColumn("_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
-    out = out.where(F.col("_gone").isNull() | F.col("_text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.select(*[F.col("_text").alias(text) if c == text else docs[c] for c in docs.columns])

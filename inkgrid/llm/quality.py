@@ -161,10 +161,14 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: list[int], n_trees: int = 80,
     return Trees(*(np.array(a, t) for a, t in ((feature, int), (threshold, float), (left, int), (right, int), (value, float), (roots, int))), depth, base)
 
 
+def _sample(labels: DataFrame, target: str, rows: int, key: str = "doc_id") -> DataFrame:
+    return labels.select(labels[key].cast("long").alias("doc_id"), labels[target].cast("int").alias("_y")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(rows)
+
+
 def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", target: str = "quality", train_rows: int = 20_000) -> Trees | None:
     """Trees fitted on at most `train_rows` labelled rows, those with the least
     hash of their key. None if the labels don't have both classes."""
-    chosen = labels.select(labels[key].cast("long").alias("doc_id"), labels[target].cast("int").alias("_y")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(train_rows)
+    chosen = _sample(labels, target, train_rows, key)
     got = stats.join(chosen, "doc_id").select("_y", *FEATURES).toPandas()
     y = (got["_y"].to_numpy() > 0).astype(float)
     if not 0 < y.sum() < len(y):
@@ -173,22 +177,47 @@ def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", target: str
     return fit_trees(got[list(FEATURES)].to_numpy(float)[order], y[order], list(FEATURES.values()))
 
 
+def _verdict(x: np.ndarray, counts: dict[str, np.ndarray], model: Trees | None, least_words: int, most_repeat_percent: int, least_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base_failed, score, kept) of rows; without a model the score is infinite."""
+    failed = (counts["n_words"] < least_words) | (100 * counts["n_repeat_words"] > most_repeat_percent * counts["n_words"])
+    score = model.score(x) if model else np.full(len(x), np.inf)
+    return failed, score, ~failed & (score >= np.log(least_score / (1 - least_score)))
+
+
 def judge(stats: DataFrame, model: Trees | None, least_words: int = 50, most_repeat_percent: int = 50, least_score: float = 0.5) -> DataFrame:
     """doc_id, COUNTS, base_failed, score (probability of quality; null without a model), kept."""
-    odds = np.log(least_score / (1 - least_score))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.column_stack([b.column(c).to_numpy() for c in FEATURES])
             counts = {c: b.column(c).to_numpy() for c in COUNTS}
-            failed = (counts["n_words"] < least_words) | (100 * counts["n_repeat_words"] > most_repeat_percent * counts["n_words"])
-            score = model.score(x) if model else np.full(len(x), np.inf)
+            failed, score, kept = _verdict(x, counts, model, least_words, most_repeat_percent, least_score)
             prob = pa.array(1 / (1 + np.exp(-score)), mask=np.full(len(x), model is None))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in COUNTS), pa.array(failed), prob, pa.array(~failed & (score >= odds))], names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in COUNTS), pa.array(failed), prob, pa.array(kept)], names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
 
     return stats.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean, score double, kept boolean"]))
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = 20_000, least_words: int = 50, most_repeat_percent: int = 50, least_score: float = 0.5) -> DataFrame:
+    """The documents that judge_quality keeps, with all their columns, in one pass
+    after the fit; the fit reads the documents of at most `train_rows` labels."""
+    chosen = _sample(labels, "quality", train_rows)
+    known = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    stats = Workspace(docs.sparkSession, "quality").write(document_statistics(known), "stats")
+    model = train(stats, labels, train_rows=train_rows)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [statistics(t) for t in b.column(at).to_pylist()]
+            counts = dict(zip(COUNTS, np.array([c for c, _ in got], np.int64).reshape(-1, len(COUNTS)).T, strict=True))
+            x = np.array([v for _, v in got], np.float64).reshape(-1, len(FEATURES))
+            kept = _verdict(x, counts, model, least_words, most_repeat_percent, least_score)[2]
+            yield b.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = 20_000) -> DataFrame:
     """Statistics of every document, trees fitted on labelled ones, and verdicts.
 

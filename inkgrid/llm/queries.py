@@ -13,6 +13,7 @@ from .idfiles import read_ids, write_ids
 from .linededup import join_lines
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .passages import repeated_passages
 from .quality import judge_quality
 from .sharding import shard_documents
 from .warc import read_pages, write_pages
@@ -77,3 +78,8 @@ def op2_warc_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
