@@ -6,5 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def both(sql: str) -> Callable[[Query], Query]:
+    """Registers a query with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql.replace(" AS string)", " AS varchar)")
+        return f
+
+    return add
+
+
+def spark_only(f: Query) -> Query:
+    """Registers a query that SQL can't express; tests hold it against a plain model."""
+    QUERIES[f.__name__] = f
+    return f
+
+
+from . import queries_layout, queries_records  # noqa: E402, F401

@@ -1 +1 @@
-
+"""Column functions: box geometry and text rules."""
