@@ -80,14 +80,14 @@ def blocks_of(page: str) -> list[Block]:
     open_: list[tuple[str, bool, bool]] = []  # tag, aside, main; with what is around
     parts: list[str] = []
     linked = link = breaks = at = 0
-    tag, size = "p", len(page)
+    tag, size, apart = "p", len(page), False  # apart: the block's own element is
 
     def end() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
             around = open_[-1] if open_ else ("", False, False)
-            out.append(Block(text, tag, linked, around[1], around[2]))
+            out.append(Block(text, tag, linked, around[1] or apart, around[2]))
         parts.clear()
         linked = 0
 
@@ -132,6 +132,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         end()
         breaks = link = 0
+        apart = not closing and (name == "p" or name in HEADINGS) and bool(m[3]) and _aside(name, m[3], bool(open_) and open_[-1][2])
         if closing:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
