@@ -150,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _first(b: Block, long_chars: int, short_chars: int, dense: float, sparse: float) -> bool | None:
+def _first(b: Block, short_chars: int, dense: float, sparse: float) -> bool | None:
     """True, False or None (undecided) by where a block is, its links, length and stop words."""
     if b.aside:
         return False
@@ -166,25 +166,25 @@ def _first(b: Block, long_chars: int, short_chars: int, dense: float, sparse: fl
     if len(b.text) < short_chars:
         return False if links > 0 else None
     if stops >= dense:
-        return True if len(b.text) >= long_chars else None
+        return True
     if stops >= sparse:
         return None
     return False
 
 
-def main_text(page: str | None, long_chars: int = 140, short_chars: int = 70, dense: float = 0.3, sparse: float = 0.15) -> str:
+def main_text(page: str | None, short_chars: int = 70, dense: float = 0.3, sparse: float = 0.15) -> str:
     """The article of a page, a line for each block.
 
     First pass: a block in an element apart (navigation, header, footer, sidebar,
     notice, advert, form, comments) is out; so is one of mostly links. In an
-    article or main element, a block that isn't short is in. Elsewhere a long
-    block with dense stop words is in and one with few is out. Second pass: an
+    article or main element, a block that isn't short is in. Elsewhere a block
+    that isn't short is in if its stop words are dense, and out if they are few. Second pass: an
     undecided block takes the label of the nearest decided blocks, first of the
     same kind of place (in or outside an article or main element). If they differ,
     it is in within an article or main element, and if it is a heading with
     text to follow; without any, it is in if no block of the page was decided as in."""
     blocks = blocks_of(page or "")
-    first = [_first(b, long_chars, short_chars, dense, sparse) for b in blocks]
+    first = [_first(b, short_chars, dense, sparse) for b in blocks]
     n = len(blocks)
     before: list[tuple[int, bool] | None] = [None] * n
     after: list[tuple[int, bool] | None] = [None] * n
