@@ -81,6 +81,8 @@ def write_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     large = rows.where(F.octet_length("html") >= least_bytes)
     groups = large.groupBy(sha.alias("sha")).agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 and top is not null").select("sha", "top")
     copies = large.select("page_id", sha.alias("sha")).join(groups, "sha").where(~F.col("page_id").eqNullSafe(F.col("top"))).select("sha", "page_id", "top").distinct()
+    # Written first, so that Spark knows its size: if it is small, the pages aren't shuffled to meet it.
+    copies = space.write(copies, "copies")
     marked = rows.withColumn("sha", sha).join(copies.withColumnsRenamed({"sha": "_sha", "page_id": "_id"}), (F.col("sha") == F.col("_sha")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
