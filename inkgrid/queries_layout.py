@@ -247,10 +247,10 @@ def token_chains(spark: SparkSession, sf: str) -> DataFrame:
 c AS (SELECT page, token_id, row, confidence, x1, x2, text, sum(d) OVER (PARTITION BY page ORDER BY (x1 + x2) / 2, token_id ROWS UNBOUNDED PRECEDING) AS col FROM (SELECT *, CASE WHEN (x1 + x2) / 2 - lag((x1 + x2) / 2) OVER (PARTITION BY page ORDER BY (x1 + x2) / 2, token_id) > 40 THEN 1 ELSE 0 END AS d FROM r)),
 size AS (SELECT page, cast(max(row) AS bigint) AS mr, cast(max(col) AS bigint) AS mc FROM c GROUP BY page),
 dense AS (SELECT page, row, unnest(range(0, mc + 1)) AS col FROM (SELECT page, mc, unnest(range(0, mr + 1)) AS row FROM size))
-SELECT d.page, cast(d.row AS integer) AS row, cast(d.col AS integer) AS col, coalesce(string_agg(text, ' ' ORDER BY (x1 + x2) / 2, token_id), '') AS text, coalesce(round(avg(confidence), 4), 0.0e0) AS confidence
+SELECT d.page, cast(d.row AS integer) AS row, cast(d.col AS integer) AS col, coalesce(string_agg(text, ' ' ORDER BY (x1 + x2) / 2, token_id), '') AS text, coalesce(round(avg(confidence), 6), 0.0e0) AS confidence
 FROM dense d LEFT JOIN c ON d.page = c.page AND d.row = c.row AND d.col = c.col GROUP BY ALL""", "tokens"))
 def table_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.table_grid(tokens(spark, sf)).withColumn("confidence", F.round("confidence", 4))
+    return cluster.table_grid(tokens(spark, sf))
 
 
 @spark_only
