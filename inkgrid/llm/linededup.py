@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,25 +10,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions
-from .setcheck import common_items
-from .words import _GOLD, _hashes, mix, slices
+from .common import Workspace, partitions, pieces_of
+from .components import components
+from .setcheck import common_items, common_matrix
+from .words import _GOLD, _hashes, mix, slices, word_hashes
 
 #: Counters of the token counts, and counters in a block of them.
 SLOTS, BLOCK = 1 << 22, 1 << 16
+#: Classes of a family on one side of a comparison.
+SIDE = 256
+
+
+#: Stands for a line end among the words; no UTF-8 text has this byte.
+_END = b"\xff"
 
 
 def _line_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of a text in order, and the number of words of each line."""
-    hashes, sizes = [], []
-    for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
-        n = 0
-        for part in slices(line):
-            words = part.split()
-            hashes += map(_hashes.__getitem__, words)
-            n += len(words)
-        sizes.append(n)
-    return np.array(hashes, np.uint64), np.array(sizes, np.int64)
+    hashes = []
+    for part in slices((text or "").encode("utf-8", "surrogatepass").lower().replace(b"\n", b" \xff ")):
+        words = part.split()
+        hashes.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
+    h = hashes[0] if len(hashes) == 1 else np.concatenate(hashes)
+    ends = np.flatnonzero(h == np.uint64(_hashes[_END]))
+    sizes = np.diff(np.concatenate([[-1], ends, [len(h)]])) - 1
+    return np.delete(h, ends) if len(ends) else h, sizes
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -45,10 +52,16 @@ def token_counts(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.uint32)
-        for b in batches:
+        for b in (p for whole in batches for p in pieces_of(whole, 2000)):
+            waiting, size = [], 0
             for text in b.column(0).to_pylist():
-                h, _ = _line_words(text)
-                np.add.at(total, _slot(h), np.uint32(1))
+                waiting.append(word_hashes(text))
+                size += len(waiting[-1])
+                if size > 1_000_000:
+                    np.add.at(total, _slot(np.concatenate(waiting)), np.uint32(1))
+                    waiting, size = [], 0
+            if waiting:
+                np.add.at(total, _slot(np.concatenate(waiting)), np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1).compress
         blocks = [pack(total[k : k + BLOCK].tobytes()) for k in range(0, SLOTS, BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
@@ -77,14 +90,19 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("n_tokens", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("m0", pa.int64()), ("m1", pa.int64()), ("skip", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-_LINES_SQL = "doc_id long, line_no int, n_tokens int, s0 long, s1 long, m0 long, m1 long, skip int, prefix array<long>"
+_LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("n_tokens", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("parity", pa.int64()), ("skip", pa.int32()), ("prefix", pa.list_(pa.int32()))])
+_LINES_SQL = "doc_id long, line_no int, n_tokens int, s0 long, s1 long, parity long, skip int, prefix array<int>"
+
+
+def _stable_order(small: np.ndarray, most: int) -> np.ndarray:
+    """A stable sort order of small numbers; by radix if they fit 16 bits."""
+    return np.argsort(small.astype(np.uint16) if most < 65536 else small, kind="stable")
 
 
 def _distinct_by_line(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens in order of (line, token), each once."""
     order = np.argsort(h)
-    order = order[np.argsort(line[order], kind="stable")]
+    order = order[_stable_order(line[order], int(line[-1]) if len(line) else 0)]
     h, line = h[order], line[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -93,14 +111,14 @@ def _distinct_by_line(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.n
 
 def line_sets(texts: DataFrame, counts: np.ndarray, percent: int, least: int) -> DataFrame:
     """A row for each line of at least `least` distinct tokens: its place, set size,
-    a 128-bit digest (s0, s1) and a 128-bit parity map (m0, m1) of the set, and
-    its prefix: the rarest tokens, of which any linked set has one. The first
-    `skip` of them are left out, as they occur nowhere else."""
+    a 128-bit digest (s0, s1) and a 64-bit parity map of the set, and its prefix: the
+    rarest tokens, of which any linked set has one, by 32 bits of their hashes. The
+    first `skip` of them are left out, as they occur nowhere else."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(counts)  # SLOTS numbers of 2 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in pieces_of(whole)):
             keys, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
             at = 0
             while at < len(keys):
@@ -127,19 +145,18 @@ def line_sets(texts: DataFrame, counts: np.ndarray, percent: int, least: int) ->
         ends = np.cumsum(n)
         begins = ends - n
         s0, s1 = np.add.reduceat(mix(h + _GOLD), begins), np.add.reduceat(mix(mix(h) ^ _GOLD), begins)
-        bit = np.uint64(1) << (h & np.uint64(63))
-        high = (h >> np.uint64(6) & np.uint64(1)).astype(bool)
-        m0, m1 = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), begins) for x in (~high, high))
+        parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), begins)
         level = shared.value[_slot(h)]
         row = np.repeat(np.arange(len(lines)), n)
-        order = np.argsort(row << 16 | level, kind="stable")  # then by token, as before
+        order = _stable_order(level, 65535)  # by line, then level, then token as before
+        order = order[_stable_order(row[order], len(lines))]
         h, level = h[order], level[order]
         place = np.arange(len(h)) - np.repeat(begins, n)
         taken = (place < np.repeat(n - needed(n, percent) + 1, n)) & (level > 1)
         skip = np.add.reduceat((level <= 1).astype(np.int32), begins).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(taken.astype(np.int32), begins))]), pa.int32()), pa.array(h[taken].view(np.int64)))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(taken.astype(np.int32), begins))]), pa.int32()), pa.array((h[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
         doc = pa.array([keys[i] for i in owners[lines]], pa.int64())
-        rest = [numbers[lines].astype(np.int32), n.astype(np.int32), s0.view(np.int64), s1.view(np.int64), m0.view(np.int64), m1.view(np.int64), skip]
+        rest = [numbers[lines].astype(np.int32), n.astype(np.int32), s0.view(np.int64), s1.view(np.int64), parity.view(np.int64), skip]
         return pa.RecordBatch.from_arrays([doc, *map(pa.array, rest), lists], schema=_LINES)
 
     return texts.mapInArrow(run, _LINES_SQL)
@@ -152,31 +169,98 @@ def _class_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h, sizes = _line_words(text)
-                ends = np.cumsum(sizes)
-                lines = [x for x in lines if x["line_no"] < len(sizes)]
-                items = [np.unique(h[ends[x["line_no"]] - sizes[x["line_no"]] : ends[x["line_no"]]]) for x in lines]
+                own = (text or "").split("\n")
+                lines = [x for x in lines if x["line_no"] < len(own)]
+                items = [np.unique(word_hashes(own[x["line_no"]])) for x in lines]
                 yield pa.RecordBatch.from_arrays([pa.array([x["cls"] for x in lines], pa.int64()), pa.array([i.tobytes() for i in items], pa.binary()), pa.array([mix(i + _GOLD).sum().astype(np.uint64).view(np.int64) for i in items], pa.int64())], names=["cls", "items", "s0"])
 
     rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "lines")
     return rows.mapInArrow(run, "cls long, items binary, s0 long")
 
 
-def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 5, space: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
+def _families(classes: DataFrame, space: Workspace) -> DataFrame:
+    """(cls, fam): groups of classes that look alike, by the least hashes of their
+    prefixes and half of the shorter prefix in common. They only say how pairs are
+    compared: those within a family in blocks, all others by the join."""
+    own = classes.where(F.size("prefix") > 0).select("cls", "prefix", F.col("n_tokens").alias("n"))
+    least = F.array(*[F.array_min(F.transform("prefix", lambda t, seed=seed: F.xxhash64(F.lit(seed), t))) for seed in range(3)])
+    keyed = own.select("cls", F.posexplode(least).alias("seed", "h")).select("cls", F.xxhash64("seed", "h").alias("key"))
+    leads = keyed.groupBy("key").agg(F.min("cls").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = keyed.join(leads.select("key", "u"), "key").where("u <> cls").select("u", F.col("cls").alias("v")).distinct()
+    side = lambda c, p: own.select(F.col("cls").alias(c), F.col("prefix").alias(p))
+    alike = pairs.join(side("u", "pu"), "u").join(side("v", "pv"), "v").where(2 * F.size(F.array_intersect("pu", "pv")) >= F.least(F.size("pu"), F.size("pv"))).select("u", "v")
+    stars = components(alike, space, "families")
+    return stars.select(F.col("u").alias("cls"), F.col("v").alias("fam")).union(stars.select(F.col("v").alias("cls"), F.col("v").alias("fam")).distinct())
+
+
+_COUNTED = pa.schema([("cls", pa.int64()), ("n_links", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32())])
+
+
+def _family_counts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each class of a family (cls, fam, place) its number of links with others of
+    the family and the earliest place of these, in parts: a row per block of two
+    chunks of the family. A class is sent to as many blocks as there are chunks."""
+    size = members.groupBy("fam").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("n"))
+    rows = members.join(size, "fam").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("n")))
+    other = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
+    block = F.transform(other, lambda k: F.struct(F.least(k, F.col("chunk")).alias("a"), F.greatest(k, F.col("chunk")).alias("b")))
+    dealt = rows.select("fam", "cls", "chunk", "place.doc_id", "place.line_no", F.explode(block).alias("k")).select("fam", "k.a", "k.b", "chunk", "cls", "doc_id", "line_no")
+    dealt = sets.join(dealt, "cls").select("fam", "a", "b", "chunk", "cls", "doc_id", "line_no", "items")
+
+    def compare(sides: list[list[tuple]], same: bool) -> list[tuple]:
+        left, right = sides[0], sides[0] if same else sides[1]
+        if not left or not right:
+            return []
+        n = [np.array([len(x[3]) for x in side]) for side in (left, right)]
+        common = common_matrix([x[3] for x in left], [x[3] for x in right])
+        link = 100 * common >= percent * (n[0][:, None] + n[1][None, :] - common)
+        if same:
+            np.fill_diagonal(link, False)
+        out = []
+        for side, others, on in ((left, right, link), (right, left, link.T))[: 1 if same else 2]:
+            order = sorted(range(len(others)), key=lambda i: (others[i][1] is not None, others[i][1] or 0, others[i][2]))
+            on = on[:, order]
+            first = on.argmax(1)
+            out += [(side[i][0], int(k), *others[order[first[i]]][1:3]) for i, k in enumerate(on.sum(1)) if k]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, found = None, [[], []], []
+        for b in batches:
+            for fam, i, k, chunk, *rest, items in zip(*(c.to_pylist() for c in b.columns[:-1]), (x.as_buffer() for x in b.column(7)), strict=True):
+                if (fam, i, k) != now:
+                    found += compare(sides, now is not None and now[1] == now[2])
+                    now, sides = (fam, i, k), [[], []]
+                sides[chunk != i].append((*rest, np.frombuffer(items, np.uint64)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), _COUNTED.types, strict=True)], schema=_COUNTED)
+                found = []
+        found += compare(sides, now is not None and now[1] == now[2])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), _COUNTED.types, strict=True)], schema=_COUNTED)
+
+    keys = ("fam", "a", "b")
+    return dealt.repartition(partitions(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "cls long, n_links long, doc_id long, line_no int")
+
+
+def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 5, space: Workspace | None = None) -> DataFrame:
     """All lines of at least `least` distinct words, and the links between different sets.
 
     Lines (split at \\n) are sets of words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case.
     Equal sets are a class; its first line in order of (doc_id, line_no) stands
     for it. Classes are linked if 100 * common >= percent * all their tokens.
     Tokens are ordered by rarity. A class is found by its shorter prefix from
-    the longer prefix of classes no smaller, subject to the length filter, the
-    positional filter, and the parity maps (which bound the difference of two
-    sets from below); then full sets are compared. No candidate is left out.
-
-    Returns lines (doc_id, line_no, n_tokens, cls, n_links, class_doc_id,
-    class_line_no, first_doc_id, first_line_no, removed) and links (u, v, common,
-    total; u and v are classes). `first_*` is the earliest line of the class and
-    of those linked with it; every later line is removed.
+    the longer prefix of classes no smaller. Keys hold the token and the size
+    in steps of 100 / percent, so that only sizes within a step meet. The length
+    filter, the positional filter and the parity maps (which bound the difference of
+    two sets from below) follow; then full sets are compared. No candidate is left out.
+    The many variants of one line are a family; they are compared in blocks that
+    count links, so that no row is made for each of their pairs.
+
+    Returns (doc_id, line_no, n_tokens, cls, n_links, class_doc_id, class_line_no,
+    first_doc_id, first_line_no, removed). n_links: other classes linked with the
+    line's class. `first_*` is the earliest line of the class and of those linked
+    with it; every later line is removed.
 
     Null or empty text: no lines. A null doc_id comes before all others. Rows that
     share a doc_id share places: their equal lines at one place are one line.
@@ -184,47 +268,51 @@ def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     space = space or Workspace(docs.sparkSession, "lines")
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     counts = token_counts(rows.select("text"))
-    lines = space.write(line_sets(rows, counts, percent, least), "lines")
+    found = space.write(line_sets(rows, counts, percent, least), "found")
+    lines = space.write(found.select("doc_id", "line_no", "n_tokens", "s0", "s1"), "lines")
     place = F.struct("doc_id", "line_no")
-    one = ("n_tokens", "m0", "m1", "skip", "prefix")
-    classes = lines.groupBy("s0", "s1").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in one])
+    one = ("n_tokens", "parity", "skip", "prefix")
+    classes = found.groupBy("s0", "s1").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in one])
     classes = space.write(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    tokens = classes.select("cls", "n_tokens", "m0", "m1", "skip", F.posexplode("prefix").alias("at", "token"))
-    tokens = tokens.select("token", "cls", (F.col("n_tokens").cast("long") * 2**31 + F.col("skip") + F.col("at")).alias("np"), "m0", "m1").repartition(partitions(docs.sparkSession), "token")
-    x, y = tokens.alias("x"), tokens.alias("y")
+    space.drop("found")
+    families = space.write(_families(classes, space), "families")
+    tokens = classes.join(families, "cls", "left").select("cls", F.coalesce("fam", "cls").alias("fam"), F.col("n_tokens").alias("n"), "parity", "skip", F.posexplode("prefix").alias("at", "token"))
+    step = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("long") if percent < 100 else F.col("n").cast("long")
+    keyed = lambda size: (F.col("token").cast("long") * 256 + size).alias("key")
+    # One number holds set size and place of the token.
+    np_ = (F.col("n").cast("long") * 2**31 + F.col("skip") + F.col("at")).alias("np")
+    short = F.expr(f"n - ({2 * percent}L * n + {99 + percent}) div {100 + percent} + 1")
+    x = tokens.where(F.col("skip") + F.col("at") < short).select(F.explode(F.array(step, step + 1)).alias("step"), "cls", "fam", np_, "parity", "token").select(keyed(F.col("step")), "cls", "fam", "np", "parity").alias("x")
+    y = tokens.select(keyed(step), "cls", "fam", np_, "parity").alias("y")
     n = lambda side: F.shiftright(F.col(f"{side}.np"), 31)
     pos = lambda side: F.col(f"{side}.np").bitwiseAND(2**31 - 1)
     least_common = F.expr(f"({percent} * ((x.np >> 31) + (y.np >> 31)) + {99 + percent}) div {100 + percent}")
-    # The shorter set's own bound, for sets no smaller: the token must be in its shorter prefix.
-    short = F.expr(f"(x.np >> 31) - ({2 * percent} * (x.np >> 31) + {99 + percent}) div {100 + percent} + 1")
     on = (
-        (F.col("x.token") == F.col("y.token"))
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.fam") != F.col("y.fam"))
         & ((n("x") < n("y")) | (n("x") == n("y")) & (F.col("x.cls") < F.col("y.cls")))
         & (n("x") * 100 >= n("y") * percent)
-        & (pos("x") + F.col("y.cls") * 0 < short)  # both sides named, so that one exchange serves both
-        & (1 + F.least(n("x") - pos("x"), n("y") - pos("y")) - 1 >= least_common)
-        & (F.expr("bit_count(x.m0 ^ y.m0) + bit_count(x.m1 ^ y.m1)") <= n("x") + n("y") - 2 * least_common)
+        & (F.least(n("x") - pos("x"), n("y") - pos("y")) >= least_common)
+        & (F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= n("x") + n("y") - 2 * least_common)
     )
     pairs = space.write(x.join(y, on).select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v")).distinct(), "pairs")
-    asked = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
+    asked = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).union(families.select("cls")).distinct()
     asked = classes.select("cls", "s0", F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").alias("line_no")).join(asked, "cls")
     # Of rows that share a doc_id, that with the class's own set counts.
     sets = space.write(_class_sets(rows, asked).join(asked.select("cls", "s0"), ["cls", "s0"]).select("cls", "items").distinct(), "sets")
     links = space.write(common_items(pairs, sets).where(f"100 * common >= {int(percent)} * total"), "links")
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    other = classes.select(F.col("cls").alias("v"), F.col("place").alias("near"))
-    linked = both.join(other, "v").groupBy("u").agg(F.count(F.lit(1)).alias("n_links"), F.min("near").alias("near")).withColumnRenamed("u", "cls")
+    across = both.join(classes.select(F.col("cls").alias("v"), "place"), "v").select(F.col("u").alias("cls"), F.lit(1).cast("long").alias("n_links"), "place")
+    inside = _family_counts(families.join(classes.select("cls", "place"), "cls"), sets, int(percent)).select("cls", "n_links", place.alias("place"))
+    linked = across.union(inside).groupBy("cls").agg(F.sum("n_links").alias("n_links"), F.min("place").alias("near"))
     known = classes.select("s0", "s1", "cls", "place").join(linked, "cls", "left")
     first = F.least("place", F.coalesce("near", "place"))
     known = known.select("s0", "s1", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"), "place", first.alias("first"))
-    out = lines.select("doc_id", "line_no", "n_tokens", "s0", "s1").join(known, ["s0", "s1"])
+    out = lines.join(known, ["s0", "s1"])
     later = F.struct(F.col("doc_id"), F.col("line_no")) > F.col("first")
-    return (
-        out.select(
-            "doc_id", "line_no", "n_tokens", "cls", "n_links", F.col("place.doc_id").alias("class_doc_id"), F.col("place.line_no").alias("class_line_no"),
-            F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), later.alias("removed"),
-        ),
-        links,
+    return out.select(
+        "doc_id", "line_no", "n_tokens", "cls", "n_links", F.col("place.doc_id").alias("class_doc_id"), F.col("place.line_no").alias("class_line_no"),
+        F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), later.alias("removed"),
     )
 
 

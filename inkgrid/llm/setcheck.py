@@ -31,8 +31,8 @@ def common_items(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         group, leaders = None, []
         for b in batches:
             out = []
-            columns = (b.column(c).to_pylist() for c in ("u", "chunk", "kind", "cls", "items"))
-            for u, chunk, kind, v, items in zip(*columns, strict=True):
+            columns = (b.column(c).to_pylist() for c in ("u", "chunk", "kind", "cls"))
+            for u, chunk, kind, v, items in zip(*columns, (x.as_buffer() for x in b.column("items")), strict=True):
                 own = np.frombuffer(items, np.uint64)
                 if (u, chunk) != group:
                     group, leaders = (u, chunk), []
@@ -52,3 +52,22 @@ def common_items(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt_out.mapInArrow(run, "u long, v long, common long, total long")
 
 
+
+
+def common_matrix(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets, by products of 0/1
+    matrices over the items that more than one set has, some columns at a time."""
+    sets = [*left, *right]
+    items, where = np.unique(np.concatenate(sets), return_inverse=True)
+    times = np.bincount(where, minlength=len(items))
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[where]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int((times > 1).sum()), columns):
+        a, b = np.searchsorted(column, [low, low + columns])
+        grid = np.zeros((len(sets), columns), np.float32)
+        grid[owner[a:b], column[a:b] - low] = 1
+        out += grid[: len(left)] @ grid[len(left) :].T
+    return out.astype(np.int64)
