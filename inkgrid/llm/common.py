@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,6 +34,10 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        # Rows hold whole texts and sets: Arrow batches of 10,000 of them take too much memory.
+        batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+            spark.conf.set(batch, BATCH_ROWS)
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._fs(self.path)[0].deleteOnExit(self._fs(self.path)[1])
 
@@ -53,5 +61,11 @@ class Workspace:
         fs.delete(p, True)
 
 
+def pieces_of(batch, rows: int = 500):
+    """An Arrow batch in slices of a few rows, so that few of its values are Python objects at once."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,14 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions
-from .components import components
-from .setcheck import common_items
+from .common import Workspace, partitions, pieces_of
+from .components import UnionFind, components
+from .setcheck import common_items, common_matrix
 from .words import _GOLD, mix, shingles, word_hashes
 
+#: Classes of a family on one side of a block.
+BLOCK = 256
+
 
 def super_minhash(elements: np.ndarray, owner: np.ndarray, n_docs: int, m: int) -> np.ndarray:
     """SuperMinHash signatures (n_docs x m) of many sets at once.
@@ -77,12 +80,12 @@ def _sketches(docs: DataFrame, k: int, m: int, rows: int) -> DataFrame:
     """doc_id, set size, 128-bit digest of the set and band keys; null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in pieces_of(batch)):
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             at = 0
             while at < len(keys):
                 sets, size = [], 0
-                while at + len(sets) < len(keys) and len(sets) < 512 and size < 150_000:
+                while at + len(sets) < len(keys) and size < 100_000:
                     sets.append(np.unique(shingles(word_hashes(texts[at + len(sets)]), k)))
                     size += len(sets[-1])
                 owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -96,83 +99,138 @@ def _sketches(docs: DataFrame, k: int, m: int, rows: int) -> DataFrame:
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                got = [np.unique(shingles(word_hashes(t), k)).tobytes() for t in texts[at : at + 256]]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(got)), pa.array(got, pa.binary())], names=["cls", "items"])
+        for b in (p for batch in batches for p in pieces_of(batch, 100)):
+            got = [np.unique(shingles(word_hashes(t), k)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["cls", "items"])
 
     return texts.mapInArrow(run, "cls long, items binary")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, m: int = 128, rows: int = 4) -> DataFrame:
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def block_links(ids: list[list[int]], labels: list[list[int]], sets: list[list[np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links that join the labels of two lists of sets, as a forest: with all common
+    counts from products of 0/1 matrices over the items that more than one set has."""
+    size = [np.array([len(x) for x in side]) for side in sets]
+    common = common_matrix(*sets)
+    total = size[0][:, None] + size[1][None, :] - common
+    apart = np.array(labels[0])[:, None] != np.array(labels[1])[None, :]
+    forest, out = UnionFind(), []
+    for i, k in np.argwhere((100 * common >= percent * total) & apart).tolist():
+        a, b = forest.root(labels[0][i]), forest.root(labels[1][k])
+        if a != b:
+            forest.join(a, b)
+            out.append((ids[0][i], ids[1][k]))
+    return out
+
+
+def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members (fam, cls, label) of a family with different labels.
+
+    The largest label of a family is one side's chunks, all others the other's; each
+    chunk of others meets each chunk in a block of its own. So a member is sent to as
+    many blocks as its family has chunks, and no pairs are rows."""
+    per = members.groupBy("fam", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy("fam").agg(F.max(F.struct("n", "label")).alias("t"), F.sum("n").alias("all")).where("t.n < all")
+    top = top.select("fam", F.col("t.label").alias("top"), F.ceil(F.col("t.n") / BLOCK).alias("tops"), F.ceil((F.col("all") - F.col("t.n")) / BLOCK).alias("others"))
+    rows = members.join(top, "fam")
+    is_top = F.col("label") == F.col("top")
+    chunk = F.pmod(F.xxhash64("cls"), F.when(is_top, F.col("tops")).otherwise(F.col("others")))
+    other = F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1)
+    # A block is (chunk of others, side, chunk): side 0 meets the largest label, side 1 the others from that chunk on.
+    as_left = F.concat(
+        F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("tops") - 1), lambda k: F.struct(chunk.alias("a"), F.lit(0).alias("side"), k.alias("b"), F.lit(0).alias("half"))),
+        F.transform(F.filter(other, lambda k: k >= chunk), lambda k: F.struct(chunk.alias("a"), F.lit(1).alias("side"), k.alias("b"), F.lit(0).alias("half"))),
+    )
+    as_right = F.transform(F.filter(other, lambda k: k <= chunk), lambda k: F.struct(k.alias("a"), F.lit(1).alias("side"), chunk.alias("b"), F.lit(1).alias("half")))
+    to_top = F.transform(other, lambda k: F.struct(k.alias("a"), F.lit(0).alias("side"), chunk.alias("b"), F.lit(1).alias("half")))
+    blocks = rows.select("fam", "cls", "label", F.explode(F.when(is_top, to_top).otherwise(F.concat(as_left, as_right))).alias("k")).select("fam", "cls", "label", "k.*")
+    dealt = sets.join(blocks, "cls").select("fam", "a", "side", "b", "half", "cls", "label", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, halves = None, None
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if now is not None and halves[0][0] and halves[1][0]:
+                found.extend(block_links(*([h[i] for h in halves] for i in range(3)), percent))
+
+        for b in batches:
+            for fam, i, side, k, half, cls, label, items in zip(*(c.to_pylist() for c in b.columns[:-1]), (x.as_buffer() for x in b.column(7)), strict=True):
+                if (fam, i, side, k) != now:
+                    close()
+                    now, halves = (fam, i, side, k), (([], [], []), ([], [], []))
+                for to, x in zip(halves[half], (cls, label, np.frombuffer(items, np.uint64)), strict=True):
+                    to.append(x)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=_LINKS)
+                found.clear()
+        close()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=_LINKS)
+
+    keys = ("fam", "a", "side", "b")
+    return dealt.repartition(partitions(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, m: int = 240, rows: int = 6) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * common >= percent * total shingles. Equal sets
     make one class, which its least doc_id stands for. Classes that share a band
-    are candidates (at 80 percent, 32 bands of 4 miss a pair with a chance below
-    1e-7). In a band with many classes, all are checked against its least class
-    first; that settles the copies of one text. Then pairs of members that are
-    still in different components are checked, from a growing number of members
-    of each component, until no such pair is left; pairs go that cannot be
-    linked as their distances to the least class differ too much (Jaccard
-    distance is a metric). So no link between candidates is lost, and the pairs
-    of a band are not all made.
+    are candidates (at 80 percent, 40 bands of 6 miss a pair with a chance of
+    5e-6). All classes of a band are checked against its least class. Then each
+    candidate pair is settled, without making all pairs of a band:
+    - classes linked already, by whatever path, need no check;
+    - families are the components of checked pairs at a distance of twice that of
+      a link; within them, classes with different labels are compared in blocks;
+    - pairs of a band from different families are checked one by one, unless their
+      distances to its least class differ too much (Jaccard distance is a metric).
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. With fewer words
     than `shingle`, the whole sequence is the one shingle. Null or empty text:
     no shingles, linked with nothing. A null doc_id: linked with nothing,
-    component_id null, kept. Rows with the same doc_id share a class if their
-    sets are equal. An empty table gives an empty result. Sets are compared by
-    64-bit hashes of their shingles."""
+    component_id null, kept. Rows with one doc_id are one node. An empty table
+    gives an empty result. Sets are compared by 64-bit hashes of their shingles."""
     spark = docs.sparkSession
     space = Workspace(spark, "neardup")
     rows_in = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     sketches = space.write(_sketches(rows_in, shingle, m, rows), "sketches")
     real = sketches.where("doc_id is not null and set_id is not null")
-    classes = space.write(real.groupBy("set_id").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = space.write(real.groupBy("set_id").agg(F.min("doc_id").alias("cls")), "classes")
     banded = real.join(classes.select("set_id", F.col("cls").alias("doc_id")), ["set_id", "doc_id"]).select(F.col("doc_id").alias("cls"), F.explode("bands").alias("band")).distinct()
-    found = banded.groupBy("band").agg(F.min("cls").alias("u"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = space.write(found, "bands")
+    found = space.write(banded.groupBy("band").agg(F.min("cls").alias("u"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
     many = space.write(banded.join(found.where("n > 2").select("band", "u"), "band").select("band", "u", F.col("cls").alias("v")), "many")
-    pairs = space.write(found.where("n = 2").select("u", F.col("last").alias("v")).union(many.where("u <> v").select("u", "v")).distinct(), "pairs-0")
+    pairs = space.write(found.where("n = 2").select("u", F.col("last").alias("v")).union(many.where("u <> v").select("u", "v")).distinct(), "pairs")
     involved = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = rows_in.join(involved, "doc_id").select(F.col("doc_id").alias("cls"), "text")
-    sets = space.write(_sets(texts, shingle), "sets")
-    checked = space.write(common_items(pairs, sets), "checked-0")
+    sets = space.write(_sets(rows_in.join(involved, "doc_id").select(F.col("doc_id").alias("cls"), "text"), shingle), "sets")
+    checked = space.write(common_items(pairs, sets), "checked")
     linked = f"100 * common >= {int(percent)} * total"
-    comps = components(checked.where(linked).select("u", "v"), space, "components-0")
-    turn, reach, far = 0, 1, 1 - percent / 100 + 1e-9
-    # Each member with its distance to its band's least class, which has been checked.
-    apart = checked.select("u", "v", (1 - F.col("common") / F.col("total")).alias("d"))
-    open_ = many.join(apart, ["u", "v"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    while True:
-        label = comps.select(F.col("u").alias("v"), F.col("v").alias("label"))
-        open_ = open_.drop("label").join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        mixed = open_.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
-        open_ = space.write(open_.join(mixed, "band", "left_semi"), f"open-{turn}")
-        if open_.isEmpty():
-            break
-        rank = F.row_number().over(Window.partitionBy("band", "label").orderBy("v"))
-        ranked = open_.withColumn("rank", rank)
-        pivots = ranked.where(F.col("rank") <= reach).select("band", F.col("v").alias("p"), F.col("label").alias("pl"), F.col("d").alias("pd"))
-        fresh = (
-            pivots.join(open_, "band")
-            .where((F.col("pl") != F.col("label")) & (F.abs(F.col("pd") - F.col("d")) <= far))
-            .select(F.least("p", "v").alias("u"), F.greatest("p", "v").alias("v"))
-            .distinct()
-            .join(checked.select("u", "v"), ["u", "v"], "left_anti")
-        )
-        turn += 1
-        fresh = space.write(fresh, f"pairs-{turn}")
-        if not fresh.isEmpty():
-            checked = space.write(checked.union(common_items(fresh, sets)), f"checked-{turn}")
-            space.drop(f"checked-{turn - 1}")
-            comps = components(checked.where(linked).select("u", "v"), space, f"components-{turn}")
-        elif ranked.where(F.col("rank") > reach).isEmpty():
-            break
-        reach *= 8
-    own = real.select("set_id", "doc_id").distinct().join(classes.select("set_id", "cls"), "set_id").select("doc_id", "set_id", "cls")
-    top = own.join(comps.select(F.col("u").alias("cls"), F.col("v").alias("top")), "cls", "left").select("doc_id", "set_id", F.coalesce("top", "cls").alias("component_id"))
+    links = checked.where(linked).select("u", "v")
+    labels = components(links, space, "labels").select(F.col("u").alias("cls"), F.col("v").alias("label"))
+    near = f"100 * common >= {100 - 2 * (100 - int(percent))} * total"
+    families = components(checked.where(near).select("u", "v"), space, "families")
+    # A family's least member is in no row of `families` on the left.
+    families = families.select(F.col("u").alias("cls"), F.col("v").alias("fam")).union(families.select(F.col("v").alias("cls"), F.col("v").alias("fam")).distinct())
+    members = families.join(labels, "cls", "left").select("cls", "fam", F.coalesce("label", "cls").alias("label"))
+    members = space.write(members, "members")
+    within = space.write(_family_links(members, sets, int(percent)), "within")
+    apart = checked.select("u", "v", (1 - F.col("common") / F.col("total")).alias("d")).groupBy("u", "v").agg(F.min("d").alias("d"))
+    known = members.select(F.col("cls").alias("v"), "fam")
+    placed = many.join(apart, ["u", "v"], "left").join(known, "v", "left").select("band", "v", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("fam", "v").alias("fam"))
+    mixed = placed.groupBy("band").agg(F.min("fam").alias("a"), F.max("fam").alias("b")).where("a <> b").select("band")
+    placed = space.write(placed.join(mixed, "band", "left_semi"), "mixed")
+    x, y = placed.alias("x"), placed.alias("y")
+    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.fam") != F.col("y.fam")) & (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9))
+    cross = cross.select(F.col("x.v").alias("u"), F.col("y.v").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+    cross = space.write(cross, "cross")
+    more = links.union(within)
+    if not cross.isEmpty():
+        more = more.union(common_items(cross, sets).where(linked).select("u", "v"))
+    # Labels stand for their members, so only links between labels are followed.
+    last = components(labels.select(F.col("cls").alias("u"), F.col("label").alias("v")).union(more), space, "components")
+    own = real.select("set_id", "doc_id").distinct().join(classes, "set_id")
+    top = own.join(last.select(F.col("u").alias("cls"), F.col("v").alias("top")), "cls", "left").select("doc_id", "set_id", F.coalesce("top", "cls").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_id").join(top, ["doc_id", "set_id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
