@@ -54,8 +54,8 @@ def test_trees_are_monotonic_and_learn():
 
 def test_quality_verdicts(spark):
     rnd = random.Random(3)
-    good = [(i, prose(rnd, 120)) for i in range(60)]
-    bad = [(100 + i, " ".join(f"w{rnd.randint(0, 999)}###" for _ in range(120))) for i in range(60)]
+    good = [(200 + i, prose(rnd, 120)) for i in range(60)]
+    bad = [(300 + i, " ".join(f"w{rnd.randint(0, 999)}###" for _ in range(120))) for i in range(60)]
     docs = docs_of(spark, good + bad).unionByName(edge_docs(spark))
     labels = spark.createDataFrame([(i, 1) for i, _ in good[:40]] + [(i, 0) for i, _ in bad[:40]] + [(None, 1), (5, None)], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality.judge_quality(with_clashes(docs), labels).collect()}
