@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, a score bound, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -60,21 +60,10 @@ class Items:
                 places[g].append((len(self.seqs), at))
             self.ids.append(item)
             self.seqs.append(seq)
+        self.words = [np.unique(seq, return_counts=True) for seq in self.seqs]
         self.grams = np.array(sorted(places), np.uint64)
         self.places = [places[g] for g in self.grams.tolist()]
 
-    def rare(self, counts: np.ndarray, often: int) -> np.ndarray:
-        """Which n-grams are seeds: of each item, those found at most `often` times
-        in the corpus and those found no more often than its median one. So an
-        item that is itself all over the corpus keeps seeds too."""
-        at = {g: i for i, g in enumerate(self.grams.tolist())}
-        seed = np.zeros(len(self.grams), bool)
-        for seq in self.seqs:
-            own = np.array([at[g] for g in _grams(seq, self.n).tolist()], int)
-            if len(own):
-                seed[own] |= counts[own] <= max(often, np.median(counts[own]))
-        return seed
-
     def read(self, numbers: _Numbers, text: str | None) -> np.ndarray:
         out = []
         for part in slices((text or "").lower().encode("utf-8", "surrogatepass")):
@@ -99,6 +88,15 @@ class Items:
         return at[ok], k[ok]
 
 
+def most_common(words: tuple[np.ndarray, np.ndarray], passage: np.ndarray) -> int:
+    """The words (distinct ones, their counts) that a passage has too, each as often
+    as both have it. No alignment of the two has more matches."""
+    own, times = words
+    k = np.searchsorted(own, passage)
+    k[k == len(own)] = 0
+    return int(np.minimum(np.bincount(k[own[k] == passage], minlength=len(own)), times).sum())
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """The best local score of a passage against an item, and where it ends in the
     passage (after its last word). Rows go over the item; a gap along the row is
@@ -118,7 +116,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int64()), ("most", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
 
 
-def _search(items: Items, seed: np.ndarray, percent: int):
+def _search(items: Items, percent: int):
     """A function for mapInArrow: the best aligned passage of each (document, item)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +126,8 @@ def _search(items: Items, seed: np.ndarray, percent: int):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seq = items.read(numbers, text)
                 at, gram = items.hits(seq)
-                on = seed[gram]
                 windows = defaultdict(list)
-                for p, g in zip(at[on].tolist(), gram[on].tolist(), strict=True):
+                for p, g in zip(at.tolist(), gram.tolist(), strict=True):
                     for item, offset in items.places[g]:
                         size = len(items.seqs[item])
                         slack = size // 4 + 5
@@ -143,6 +140,8 @@ def _search(items: Items, seed: np.ndarray, percent: int):
                     own, best = items.seqs[item], (0, 0, 0)
                     for lo, hi in spans:
                         passage = seq[lo:hi]
+                        if 100 * most_common(items.words[item], passage) < percent * len(own):
+                            continue
                         score, end = align(own, passage)
                         if score > best[0]:
                             best = (score, lo, lo + end)
@@ -161,16 +160,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     the item's own score: doc_id, item_id, score, most, start_word, end_word.
 
     Words are split at ASCII white space, in lower case, without
-    punctuation at their ends. The n-grams of all items are counted in all
-    documents; an item's rare ones are its seeds. Each seed in a document opens
+    punctuation at their ends. All n-grams of the items are seeds, however often
+    the corpus has them. Each seed in a document opens
     a window the size of the item and a quarter more on both sides; overlapping
-    windows of an item are one. Windows are aligned by Smith-Waterman with word
+    windows of an item are one. Windows whose words in common with the item allow
+    the score are aligned by Smith-Waterman with word
     matches of 2, mismatches and gaps of -1. Items of more than PASS_WORDS words
     in all go in several passes over the documents, so what each task holds is bounded.
 
     Null texts have no words; items of fewer than n words have no seeds. Rows
     that share a doc_id are searched each. Empty tables give an empty result.
-    Other columns are not read."""
+    Other columns are not read.
+
+    `often` has no effect: it was a limit on the counts of seeds, and callers still give it."""
     space = Workspace(docs.sparkSession, "leaks")
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     tests = benchmark.select(benchmark[item_key].cast("long").alias("item_id"), benchmark[item_text].cast("string").alias("text"))
@@ -180,20 +182,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     for k in range(passes):
         own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
         items = Items(sorted((tuple(r) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), n)
-
-        def count(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            numbers, total = _Numbers(items.bare), np.zeros(len(items.grams), np.int64)
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    _, gram = items.hits(items.read(numbers, t))
-                    np.add.at(total, gram, 1)
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["gram", "n"])
-
-        counts = np.zeros(len(items.grams), np.int64)
-        for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            counts[r.gram] = r.n
-        search = _search(items, items.rare(counts, often), percent)
+        search = _search(items, percent)
         found.append(space.write(rows.mapInArrow(search, "doc_id long, item_id long, score long, most long, start_word long, end_word long"), f"found-{k}"))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score long, most long, start_word long, end_word long")

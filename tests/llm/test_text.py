@@ -285,3 +285,20 @@ def test_leaks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in again} == want
     assert decontam.find_leaks(docs_of(spark, rows), bench.limit(0)).count() == 0
     assert decontam.find_leaks(empty(spark), bench).count() == 0
+
+
+@pytest.mark.parametrize("copies", [10, 51, 2000])
+def test_edited_copies_are_found_however_many(spark, copies):
+    rnd = random.Random(15)
+    item = " ".join(f"i{k}" for k in range(40))
+    edited = " ".join("changed" if k % 5 == 4 else w for k, w in enumerate(item.split()))
+    rows = [(i, f"{prose(rnd, 3)} {edited} {prose(rnd, 3)}") for i in range(copies)] + [(9000, " ".join(item.split()[:9]))]
+    got = decontam.find_leaks(docs_of(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(copies))
+
+
+def test_common_words_bound_the_score():
+    rnd = np.random.default_rng(16)
+    for _ in range(200):
+        a, b = rnd.integers(0, 6, rnd.integers(1, 20)), rnd.integers(-1, 8, rnd.integers(1, 30))
+        assert decontam.align(a, b)[0] <= decontam.MATCH * decontam.most_common(np.unique(a, return_counts=True), b)
