@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, partitions, pieces_of
@@ -90,8 +90,10 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("n_tokens", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("parity", pa.int64()), ("skip", pa.int32()), ("prefix", pa.list_(pa.int32()))])
-_LINES_SQL = "doc_id long, line_no int, n_tokens int, s0 long, s1 long, parity long, skip int, prefix array<int>"
+_LINES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("line_no", pa.int32()), ("n_tokens", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("parity", pa.int64()), ("skip", pa.int32()), ("prefix", pa.list_(pa.int32()))])
+#: Where a line is: rows that share a doc_id, or have none, are told apart by their texts.
+PLACE = ("doc_id", "row_key", "line_no")
+_LINES_SQL = "doc_id long, row_key long, line_no int, n_tokens int, s0 long, s1 long, parity long, skip int, prefix array<int>"
 
 
 def _stable_order(small: np.ndarray, most: int) -> np.ndarray:
@@ -109,6 +111,11 @@ def _distinct_by_line(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.n
     return h[new], line[new]
 
 
+def row_key(text: Column) -> Column:
+    """Tells rows of one doc_id, or of none, apart; the same whenever it is computed."""
+    return F.xxhash64(text.cast("string"))
+
+
 def line_sets(texts: DataFrame, counts: np.ndarray, percent: int, least: int) -> DataFrame:
     """A row for each line of at least `least` distinct tokens: its place, set size,
     a 128-bit digest (s0, s1) and a 64-bit parity map of the set, and its prefix: the
@@ -119,7 +126,7 @@ def line_sets(texts: DataFrame, counts: np.ndarray, percent: int, least: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for whole in batches for p in pieces_of(whole)):
-            keys, rows = b.column(0).to_pylist(), b.column(1).to_pylist()
+            keys, rows = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)), b.column(1).to_pylist()
             at = 0
             while at < len(keys):
                 first, parts, sizes, owners, numbers, size = at, [], [], [], [], 0
@@ -155,16 +162,16 @@ def line_sets(texts: DataFrame, counts: np.ndarray, percent: int, least: int) ->
         taken = (place < np.repeat(n - needed(n, percent) + 1, n)) & (level > 1)
         skip = np.add.reduceat((level <= 1).astype(np.int32), begins).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(taken.astype(np.int32), begins))]), pa.int32()), pa.array((h[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-        doc = pa.array([keys[i] for i in owners[lines]], pa.int64())
+        own = [[keys[i][k] for i in owners[lines]] for k in range(2)]
         rest = [numbers[lines].astype(np.int32), n.astype(np.int32), s0.view(np.int64), s1.view(np.int64), parity.view(np.int64), skip]
-        return pa.RecordBatch.from_arrays([doc, *map(pa.array, rest), lists], schema=_LINES)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in own), *map(pa.array, rest), lists], schema=_LINES)
 
     return texts.mapInArrow(run, _LINES_SQL)
 
 
 def _class_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(cls, items): the token sets of asked classes, from their first lines."""
-    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "cls")).alias("lines"))
+    wanted = asked.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("line_no", "cls")).alias("lines"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,7 +181,7 @@ def _class_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 items = [np.unique(word_hashes(own[x["line_no"]])) for x in lines]
                 yield pa.RecordBatch.from_arrays([pa.array([x["cls"] for x in lines], pa.int64()), pa.array([i.tobytes() for i in items], pa.binary()), pa.array([mix(i + _GOLD).sum().astype(np.uint64).view(np.int64) for i in items], pa.int64())], names=["cls", "items", "s0"])
 
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "lines")
+    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["row_key"] == wanted["row_key"])).select("text", "lines")
     return rows.mapInArrow(run, "cls long, items binary, s0 long")
 
 
@@ -193,7 +200,7 @@ def _families(classes: DataFrame, space: Workspace) -> DataFrame:
     return stars.select(F.col("u").alias("cls"), F.col("v").alias("fam")).union(stars.select(F.col("v").alias("cls"), F.col("v").alias("fam")).distinct())
 
 
-_COUNTED = pa.schema([("cls", pa.int64()), ("n_links", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32())])
+_COUNTED = pa.schema([("cls", pa.int64()), ("n_links", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("line_no", pa.int32())])
 
 
 def _family_counts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,30 +211,30 @@ def _family_counts(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     rows = members.join(size, "fam").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("n")))
     other = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
     block = F.transform(other, lambda k: F.struct(F.least(k, F.col("chunk")).alias("a"), F.greatest(k, F.col("chunk")).alias("b")))
-    dealt = rows.select("fam", "cls", "chunk", "place.doc_id", "place.line_no", F.explode(block).alias("k")).select("fam", "k.a", "k.b", "chunk", "cls", "doc_id", "line_no")
-    dealt = sets.join(dealt, "cls").select("fam", "a", "b", "chunk", "cls", "doc_id", "line_no", "items")
+    dealt = rows.select("fam", "cls", "chunk", *[f"place.{c}" for c in PLACE], F.explode(block).alias("k")).select("fam", "k.a", "k.b", "chunk", "cls", *PLACE)
+    dealt = sets.join(dealt, "cls").select("fam", "a", "b", "chunk", "cls", *PLACE, "items")
 
     def compare(sides: list[list[tuple]], same: bool) -> list[tuple]:
         left, right = sides[0], sides[0] if same else sides[1]
         if not left or not right:
             return []
-        n = [np.array([len(x[3]) for x in side]) for side in (left, right)]
-        common = common_matrix([x[3] for x in left], [x[3] for x in right])
+        n = [np.array([len(x[4]) for x in side]) for side in (left, right)]
+        common = common_matrix([x[4] for x in left], [x[4] for x in right])
         link = 100 * common >= percent * (n[0][:, None] + n[1][None, :] - common)
         if same:
             np.fill_diagonal(link, False)
         out = []
         for side, others, on in ((left, right, link), (right, left, link.T))[: 1 if same else 2]:
-            order = sorted(range(len(others)), key=lambda i: (others[i][1] is not None, others[i][1] or 0, others[i][2]))
+            order = sorted(range(len(others)), key=lambda i: (others[i][1] is not None, others[i][1] or 0, *others[i][2:4]))
             on = on[:, order]
             first = on.argmax(1)
-            out += [(side[i][0], int(k), *others[order[first[i]]][1:3]) for i, k in enumerate(on.sum(1)) if k]
+            out += [(side[i][0], int(k), *others[order[first[i]]][1:4]) for i, k in enumerate(on.sum(1)) if k]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides, found = None, [[], []], []
         for b in batches:
-            for fam, i, k, chunk, *rest, items in zip(*(c.to_pylist() for c in b.columns[:-1]), (x.as_buffer() for x in b.column(7)), strict=True):
+            for fam, i, k, chunk, *rest, items in zip(*(c.to_pylist() for c in b.columns[:-1]), (x.as_buffer() for x in b.column(8)), strict=True):
                 if (fam, i, k) != now:
                     found += compare(sides, now is not None and now[1] == now[2])
                     now, sides = (fam, i, k), [[], []]
@@ -240,14 +247,14 @@ def _family_counts(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), _COUNTED.types, strict=True)], schema=_COUNTED)
 
     keys = ("fam", "a", "b")
-    return dealt.repartition(partitions(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "cls long, n_links long, doc_id long, line_no int")
+    return dealt.repartition(partitions(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "cls long, n_links long, doc_id long, row_key long, line_no int")
 
 
 def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, least: int = 5, space: Workspace | None = None) -> DataFrame:
     """All lines of at least `least` distinct words, and the links between different sets.
 
     Lines (split at \\n) are sets of words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case.
-    Equal sets are a class; its first line in order of (doc_id, line_no) stands
+    Equal sets are a class; its first line in order of (doc_id, row_key, line_no) stands
     for it. Classes are linked if 100 * common >= percent * all their tokens.
     Tokens are ordered by rarity. A class is found by its shorter prefix from
     the longer prefix of classes no smaller. Keys hold the token and the size
@@ -257,20 +264,21 @@ def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     The many variants of one line are a family; they are compared in blocks that
     count links, so that no row is made for each of their pairs.
 
-    Returns (doc_id, line_no, n_tokens, cls, n_links, class_doc_id, class_line_no,
+    Returns (doc_id, row_key, line_no, n_tokens, cls, n_links, class_doc_id, class_line_no,
     first_doc_id, first_line_no, removed). n_links: other classes linked with the
     line's class. `first_*` is the earliest line of the class and of those linked
     with it; every later line is removed.
 
     Null or empty text: no lines. A null doc_id comes before all others. Rows that
-    share a doc_id share places: their equal lines at one place are one line.
+    share a doc_id, or have none, are told apart by row_key, a hash of the text;
+    rows equal in both are one row, whose lines are the same lines.
     Empty tables give empty results. Other columns are not read."""
     space = space or Workspace(docs.sparkSession, "lines")
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), row_key(docs[text]).alias("row_key"))
     counts = token_counts(rows.select("text"))
     found = space.write(line_sets(rows, counts, percent, least), "found")
-    lines = space.write(found.select("doc_id", "line_no", "n_tokens", "s0", "s1"), "lines")
-    place = F.struct("doc_id", "line_no")
+    lines = space.write(found.select(*PLACE, "n_tokens", "s0", "s1"), "lines")
+    place = F.struct(*PLACE)
     one = ("n_tokens", "parity", "skip", "prefix")
     classes = found.groupBy("s0", "s1").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in one])
     classes = space.write(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
@@ -297,8 +305,7 @@ def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     )
     pairs = space.write(x.join(y, on).select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v")).distinct(), "pairs")
     asked = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).union(families.select("cls")).distinct()
-    asked = classes.select("cls", "s0", F.col("place.doc_id").alias("doc_id"), F.col("place.line_no").alias("line_no")).join(asked, "cls")
-    # Of rows that share a doc_id, that with the class's own set counts.
+    asked = classes.select("cls", "s0", *[F.col(f"place.{c}").alias(c) for c in PLACE]).join(asked, "cls")
     sets = space.write(_class_sets(rows, asked).join(asked.select("cls", "s0"), ["cls", "s0"]).select("cls", "items").distinct(), "sets")
     links = space.write(common_items(pairs, sets).where(f"100 * common >= {int(percent)} * total"), "links")
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -309,22 +316,22 @@ def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     first = F.least("place", F.coalesce("near", "place"))
     known = known.select("s0", "s1", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"), "place", first.alias("first"))
     out = lines.join(known, ["s0", "s1"])
-    later = F.struct(F.col("doc_id"), F.col("line_no")) > F.col("first")
+    later = F.struct(*map(F.col, PLACE)) > F.col("first")
     return out.select(
-        "doc_id", "line_no", "n_tokens", "cls", "n_links", F.col("place.doc_id").alias("class_doc_id"), F.col("place.line_no").alias("class_line_no"),
+        "doc_id", "row_key", "line_no", "n_tokens", "cls", "n_links", F.col("place.doc_id").alias("class_doc_id"), F.col("place.line_no").alias("class_line_no"),
         F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), later.alias("removed"),
     )
 
 
 def drop_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without the lines marked as removed; all other columns as they
-    are. A document that had lines of enough words and keeps none of them goes;
+    """The documents without the lines marked as removed in their own row; all other
+    columns as they are. A document that had lines of enough words and keeps none of them goes;
     others, also those without words from the start, stay. A null text stays null."""
-    gone = lines.groupBy("doc_id").agg(F.collect_set(F.when(F.col("removed"), F.col("line_no"))).alias("_gone"), F.count_if(~F.col("removed")).alias("_left"))
-    gone = gone.where(F.size("_gone") > 0).withColumnRenamed("doc_id", "_doc")
+    gone = lines.groupBy("doc_id", "row_key").agg(F.collect_set(F.when(F.col("removed"), F.col("line_no"))).alias("_gone"), F.count_if(~F.col("removed")).alias("_left"))
+    gone = gone.where(F.size("_gone") > 0).withColumnsRenamed({"doc_id": "_doc", "row_key": "_row"})
     split = F.split(F.col(text), "\n", -1)
     left = F.filter(F.transform(split, lambda line, i: F.struct(line.alias("line"), F.array_contains("_gone", i).alias("gone"))), lambda x: ~x["gone"])
     kept = F.array_join(F.transform(left, lambda x: x["line"]), "\n")
-    out = docs.join(gone, docs[key].eqNullSafe(gone["_doc"]), "left").where("_left is null or _left > 0")
+    out = docs.join(gone, docs[key].eqNullSafe(gone["_doc"]) & (row_key(docs[text]) == gone["_row"]), "left").where("_left is null or _left > 0")
     out = out.withColumn("_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
     return out.select(*[F.col("_text").alias(text) if c == text else docs[c] for c in docs.columns])

@@ -139,6 +139,16 @@ def test_lines_of_edge_docs(spark):
     assert out.count() == edge_docs(spark).count() and out.columns == with_clashes(edge_docs(spark)).columns
 
 
+@pytest.mark.parametrize("d", [None, 7])
+def test_lines_go_only_from_their_own_row(spark, d):
+    rnd = random.Random(17)
+    line = [prose(rnd, 12, 10**6) for _ in range(8)]
+    rows = [(d, "\n".join(line[:3])), (d, "\n".join([line[3], line[0], line[4]])), (d, "\n".join([line[0], line[5], line[6]])), (d, line[7])]
+    docs = docs_of(spark, rows)
+    out = [r.text for r in linededup.drop_lines(docs, linededup.join_lines(with_clashes(docs))).collect()]
+    assert len(out) == 4 and Counter(x for t in out for x in t.split("\n")) == Counter(line)
+
+
 # --- near-dedup -----------------------------------------------------------------------
 def shingle_set(text, k):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
