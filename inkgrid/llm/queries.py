@@ -72,7 +72,7 @@ def op10_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_warc_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(*write_pages(table(spark, sf_dir, "pages"))).drop("payload", "url")
+    return read_pages(*write_pages(table(spark, sf_dir, "pages")), strict=True).drop("payload", "url")
 
 
 @query

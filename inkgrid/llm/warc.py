@@ -18,7 +18,7 @@ MAGIC = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes after which a task begins another file, and bytes of a reader's split.
 FILE_BYTES, SPLIT_BYTES = 1 << 25, 1 << 22
-#: Bytes in which a record's header must end.
+#: Bytes that are read at once for a record's header; more are read if it does not end in them.
 HEADER_BYTES = 1 << 16
 
 
@@ -44,22 +44,38 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return record("revisit", fields | {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:page:{refers_to}>"}, http)
 
 
-def read_header(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
+#: Says that the data ends within a header.
+CUT = object()
+
+
+def read_header(data: bytes, at: int) -> tuple[dict[str, str], int, int] | object | None:
     """(fields, where the block begins, its length) of a record at a place; None if
-    there is none: no magic, no end of the header, or no valid length."""
+    there is none: no magic, a line without a name, or no valid length; CUT if the
+    data ends before the header does."""
     if data[at : at + len(MAGIC)] != MAGIC:
         return None
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0:
-        return None
-    fields = {}
-    for line in data[at + len(MAGIC) : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    fields, begin = {}, at + len(MAGIC)
+    while (end := data.find(b"\r\n", begin)) != begin:
+        if end < 0:
+            return CUT
+        name, colon, value = data[begin:end].partition(b":")
         if not colon:
             return None
         fields[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+        begin = end + 2
     length = fields.get("content-length", "")
-    return (fields, end + 4, int(length)) if length.isascii() and length.isdigit() else None
+    return (fields, end + 2, int(length)) if length.isascii() and length.isdigit() else None
+
+
+def _whole_header(f, data: bytes, begin: int, size: int, at: int) -> tuple[tuple[dict[str, str], int, int] | None, bytes]:
+    """The header at a place of the data, which begin at a place of the file, and
+    the data with what had to be read for it."""
+    while (header := read_header(data, at)) is CUT and begin + len(data) < size:
+        more = f.read_at(min(max(len(data) - at, HEADER_BYTES), size - begin - len(data)), begin + len(data))
+        if not more:
+            break
+        data += more
+    return None if header is CUT else header, data
 
 
 def write_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, space: Workspace | None = None) -> tuple[str, DataFrame]:
@@ -141,13 +157,15 @@ def _candidates(folder: str, split_bytes: int):
             for file, size, split in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 begin = split * split_bytes
                 end = min(begin + split_bytes, size)
+                after = {}
                 with opened(file) as f:
                     data = f.read_at(min(end + HEADER_BYTES, size) - begin, begin)
-                after, at = {}, data.find(MAGIC)
-                while 0 <= at < end - begin:
-                    if header := read_header(data, at):
-                        after[begin + at] = begin + header[1] + header[2] + 4
-                    at = data.find(MAGIC, at + 1)
+                    at = data.find(MAGIC)
+                    while 0 <= at < end - begin:
+                        header, data = _whole_header(f, data, begin, size, at)
+                        if header:
+                            after[begin + at] = begin + header[1] + header[2] + 4
+                        at = data.find(MAGIC, at + 1)
                 out = {}
                 for place in sorted(after, reverse=True):
                     out[place] = out.get(after[place], after[place])
@@ -165,9 +183,10 @@ def _number(urn: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def _records(folder: str, split_bytes: int, keep_payload: bool):
+def _records(folder: str, split_bytes: int, keep_payload: bool, strict: bool):
     """For mapInArrow over (file, bytes, at): the records of the chain from a verified
-    place to the end of its split. A response's payload must have its digest."""
+    place to the end of its split. A response's payload must have its digest. If
+    strict, each place must be a record that ends within the file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = _open(folder)
@@ -176,8 +195,9 @@ def _records(folder: str, split_bytes: int, keep_payload: bool):
                 end, rows = min((at // split_bytes + 1) * split_bytes, size), []
                 with opened(file) as f:
                     while at < end:
-                        head = f.read_at(min(HEADER_BYTES, size - at), at)
-                        header = read_header(head, 0)
+                        header, head = _whole_header(f, f.read_at(min(HEADER_BYTES, size - at), at), at, size, 0)
+                        if strict and (header is None or at + header[1] + header[2] + 4 > size):
+                            raise ValueError(f"{file} at {at}: no whole record")
                         if header is None:
                             break
                         fields, begin, length = header
@@ -203,7 +223,7 @@ def _records(folder: str, split_bytes: int, keep_payload: bool):
     return run
 
 
-def read_pages(folder: str, files: DataFrame, keep_payload: bool = False, split_bytes: int = SPLIT_BYTES, space: Workspace | None = None) -> DataFrame:
+def read_pages(folder: str, files: DataFrame, keep_payload: bool = False, split_bytes: int = SPLIT_BYTES, space: Workspace | None = None, strict: bool = False) -> DataFrame:
     """The response and revisit records of archives (file, bytes) of a folder.
 
     Tasks scan splits for the magic and give each candidate record its successor,
@@ -212,7 +232,9 @@ def read_pages(folder: str, files: DataFrame, keep_payload: bool = False, split_
     can begin a split's part of the true chain; among these, pointers from the
     start of each file are doubled until no further place is reached. Then each
     split is read from its verified place on. What no chain from a file's start
-    reaches is no record. Null pages and empty folders give no rows."""
+    reaches is no record. If `strict`, for archives that are known to be whole, it is
+    an error if a file does not begin with a record, or if a chain reaches a place
+    that is no record or does not end at the end of its file. Null pages and empty folders give no rows."""
     spark = files.sparkSession
     space = space or Workspace(spark, "warc-read")
     n = partitions(spark)
@@ -221,7 +243,7 @@ def read_pages(folder: str, files: DataFrame, keep_payload: bool = False, split_
     found = space.write(found, "candidates")
     entries = found.select("file", F.col("out").alias("at")).union(found.where("at = 0").select("file", "at")).distinct()
     jump = space.write(found.join(entries, ["file", "at"]), "jump-0")
-    reached = jump.where("at = 0").select("file", "at")
+    reached = files.where("bytes > 0").select("file", F.lit(0).cast("long").alias("at"))
     k, before, now = 0, -1, -2
     while now != before:
         k += 1
@@ -232,4 +254,4 @@ def read_pages(folder: str, files: DataFrame, keep_payload: bool = False, split_
         space.drop(f"jump-{k - 1}")
         before, now = now, reached.count()
     starts = files.join(reached, "file").where("at < bytes").select("file", "bytes", "at")
-    return starts.repartition(n, "file", "at").mapInArrow(_records(folder, split_bytes, keep_payload), _READ_SQL)
+    return starts.repartition(n, "file", "at").mapInArrow(_records(folder, split_bytes, keep_payload, strict), _READ_SQL)

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkgrid.llm import htmltext, warc
@@ -45,6 +46,26 @@ def test_unreachable_records_are_dropped(spark, tmp_path):
     assert [r.page_id for r in warc.read_pages(folder, warc.list_archives(spark, folder)).collect()] == [1]
 
 
+def test_long_headers_lose_nothing(spark):
+    rows = [(1, "u", "a"), (2, "data:" + "x" * 300_000, "b"), (3, "u", "c"), (4, "u" * 65_600, warc.MAGIC.decode() + "k: v"), (5, "u", "e")]
+    pages = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    folder, files = warc.write_pages(pages)
+    for size in (512, 70_000, 1 << 22):
+        got = warc.read_pages(folder, files, keep_payload=True, split_bytes=size, strict=True).collect()
+        assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == rows
+
+
+def test_strict_reading_finds_damage(spark, tmp_path):
+    one = warc.page_record(1, "u", b"a", None, "2024-01-01T00:00:00Z")
+    for name, data in (("middle", one + b"garbage" + one), ("end", one + one[:-9]), ("start", b"garbage" + one)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(data)
+        folder = f"file://{tmp_path}/{name}"
+        for size in (100, 1 << 22):
+            with pytest.raises(Exception, match="no whole record"):
+                warc.read_pages(folder, warc.list_archives(spark, folder), split_bytes=size, strict=True).collect()
+
+
 ARTICLE = "This is the text of an article that is long enough to be decided on, with words of the kind that every sentence has in it."
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies &amp; more.</div>
