@@ -69,6 +69,24 @@ def test_quality_verdicts(spark):
     assert quality.judge_quality(empty(spark), labels).count() == 0
 
 
+def test_toxic_documents_go(spark):
+    rnd = random.Random(18)
+    rows = []
+    for i in range(240):
+        w = prose(rnd, 120, 600).split()
+        if i % 3 == 0:
+            for _ in range(4):
+                w.insert(rnd.randrange(len(w)), rnd.choice(["Scum,", "trash.", "(moron)", "idiot"]))
+        rows.append((i, " ".join(w)))
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(180)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, rows)
+    clean = {i for i in range(240) if i % 3}
+    assert {r.doc_id for r in quality.judge_quality(docs, labels).where("kept").collect()} == clean
+    assert {r.doc_id for r in quality.keep_quality(docs, labels).collect()} == clean
+    few = labels.where("toxic = 0 or doc_id < 60")  # too few toxic rows to learn from
+    assert quality.keep_quality(docs, few).count() == 240
+
+
 # --- line dedup -----------------------------------------------------------------------
 def line_model(rows, percent=80, least=5):
     first, lines = {}, []
