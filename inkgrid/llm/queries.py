@@ -62,7 +62,7 @@ def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_lines(table(spark, sf_dir, "documents")).drop("cls", "row_key")
+    return join_lines(table(spark, sf_dir, "documents"), least=1).drop("cls", "row_key")
 
 
 @query

@@ -73,6 +73,13 @@ def test_pack_stage(stages):
     assert max(r[1] for r in ends) <= 2048
 
 
+def test_short_lines_are_joined_by_the_query(spark, tmp_path):
+    rows = [(1, "Read more\none two three four"), (2, "read MORE\nOne two three four\n\n"), (3, "word " * 9 + "\n" + "word")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): (r.n_tokens, r.n_links, (r.class_doc_id, r.class_line_no), (r.first_doc_id, r.first_line_no), r.removed) for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == line_model(rows, least=1) and sum(v[-1] for v in got.values()) == 3
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run_with_other_columns(spark, sf_dir, tmp_path, name):
     for t in ("documents", "pages", "labels", "benchmark"):
