@@ -272,6 +272,29 @@ def test_passages(spark):
     assert passages.repeated_passages(edge_docs(spark)).count() == 0
 
 
+def test_passages_of_lines_that_occur_singly_before(spark):
+    rnd = random.Random(19)
+    rows = []
+    for case in range(12):
+        lines = [prose(rnd, 10, 10**6) for _ in range(7)]
+        at = 100 * case
+        rows += [(at + i, f"{prose(rnd, 60, 10**6)} {x} {prose(rnd, 60, 10**6)}") for i, x in enumerate(lines)]
+        rows += [(at + 50 + i, f"{prose(rnd, 30, 10**6)} {' '.join(lines)} {prose(rnd, 30, 10**6)}") for i in range(2)]
+    got = {(r.doc_id, r.source_doc_id) for r in passages.repeated_passages(docs_of(spark, rows)).collect()}
+    assert got == {(100 * case + 51, 100 * case + 50) for case in range(12)}
+
+
+def test_passages_at_a_later_place_of_the_leader(spark):
+    rnd = random.Random(20)
+    rows = []
+    for case in range(12):
+        lines = [prose(rnd, 10, 10**6) for _ in range(7)]
+        apart = " ".join(f"{x} {prose(rnd, 50, 10**6)}" for x in lines)
+        rows += [(10 * case, f"{apart} {' '.join(lines)}"), (10 * case + 1, f"{' '.join(lines)} {prose(rnd, 30, 10**6)}")]
+    got = {(r.doc_id, r.source_doc_id) for r in passages.repeated_passages(docs_of(spark, rows)).collect()}
+    assert got == {(10 * case + 1, 10 * case) for case in range(12)}
+
+
 # --- decontamination --------------------------------------------------------------------
 def smith_waterman(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
