@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of five or more distinct words go if an earlier line is 0.8 similar;
-    documents with no words left go. n_chars is the new length."""
+    documents whose lines of that size all go, go with their shorter lines. n_chars is the new length."""
     return drop_lines(docs, join_lines(docs)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
