@@ -28,4 +28,5 @@ def spark_only(f: Query) -> Query:
     return f
 
 
-from . import queries_layout, queries_records  # noqa: E402, F401
+from . import queries_layout, queries_records  # noqa: E402, F401, I001
+from . import queries_more  # noqa: E402, F401

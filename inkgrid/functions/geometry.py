@@ -96,6 +96,58 @@ def dpi_scale(source_dpi: Column) -> Column:
     return F.lit(float(VISION_DPI)) / source_dpi
 
 
+TRACE = ("source_space", "target_space", "scale_x", "scale_y", "offset_x", "offset_y", "rotation", "dpi_before", "dpi_after")
+
+
+def _trace(source: Column, target: Column, scale: tuple[Column, Column], offset: tuple[Column, Column], rotation: Column, before: Column, after: Column) -> Column:
+    return F.struct(*[c.alias(n) for c, n in zip((source, target, *scale, *offset, rotation, before.cast("int"), after.cast("int")), TRACE, strict=True)])
+
+
+def identity_trace(space: Column) -> Column:
+    """The trace of a page on which nothing is changed."""
+    one, zero, none = F.lit(1.0), F.lit(0.0), F.lit(None)
+    return _trace(space, space, (one, one), (zero, zero), zero, none, none)
+
+
+def dpi_trace(source_dpi: Column) -> Column:
+    """From page pixels to pages of VISION_DPI."""
+    zero, scale = F.lit(0.0), dpi_scale(source_dpi)
+    return _trace(F.lit("page_pixels"), F.lit(f"normalized_opencv_{VISION_DPI}dpi"), (scale, scale), (zero, zero), zero, source_dpi, F.lit(VISION_DPI))
+
+
+def _further(trace: Column, suffix: str, offset: tuple[Column, Column], rotation: Column) -> Column:
+    return _trace(trace["target_space"], F.concat(trace["target_space"], F.lit(suffix)), (trace["scale_x"], trace["scale_y"]), offset, rotation, trace["dpi_after"], trace["dpi_after"])
+
+
+def crop_trace(trace: Column, x: Column, y: Column) -> Column:
+    return _further(trace, "_cropped", (trace["offset_x"] + x, trace["offset_y"] + y), F.lit(0.0))
+
+
+def deskew_trace(trace: Column, degrees: Column) -> Column:
+    """The angle is kept for audits; boxes aren't turned."""
+    return _further(trace, "_deskewed", (trace["offset_x"], trace["offset_y"]), degrees)
+
+
+def traced(b, trace: Column, back: bool = False) -> list[Column]:
+    """A box taken along a trace, or back."""
+    move = unproject if back else project
+    return [move(c, trace[f"scale_{a}"], trace[f"offset_{a}"]) for c, a in zip(b, "xyxy", strict=True)]
+
+
+def normalized_regions(boxes: Column, page_w: Column, page_h: Column) -> Column:
+    """An array of boxes (x1, y1, x2, y2, space) in parts of the page."""
+    def one(x: Column) -> Column:
+        own = normalized([x[c] for c in ("x1", "y1", "x2", "y2")], x["space"], page_w, page_h)
+        return F.struct(*[c.alias(n) for c, n in zip(own, ("x1", "y1", "x2", "y2"), strict=True)], F.lit("normalized").alias("space"))
+
+    return F.transform(boxes, one)
+
+
+def overlaps(a, b, space_a: Column, space_b: Column, least: float = 0.25) -> Column:
+    """Whether two boxes of one space have enough in common; never in different spaces."""
+    return (space_a == space_b) & (iou(a, b) >= least)
+
+
 def padded(b, least: float = 0.1) -> list[Column]:
     """The box with degenerate sides widened a little."""
     return [b[0], b[1], F.when(b[2] <= b[0], b[0] + least).otherwise(b[2]), F.when(b[3] <= b[1], b[1] + least).otherwise(b[3])]

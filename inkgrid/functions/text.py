@@ -17,7 +17,7 @@ EMPTY_DATE = "([/\\-.\\\\]\\s*){2,}"
 NUMBER = "^[\\d٠-٩.,\\s+\\-%]{1,20}$"
 FRAGMENT = "^([.\\-)]?\\s*\\d+\\s*[.\\-)]?|[()\\[\\]/\\\\-]|م\\d+|\\d+م|م)$"
 GHOSTS = ("^[._\\-\\s/\\\\:]+$", "^[\\s()\\[\\]]{1,2}$", "^[\\s□☐☑✓✗]{3,}$", FRAGMENT)
-WIDGETS = ("text", "number", "date", "checkbox", "radio", "select", "textarea", "email", "phone", "time", "signature", "file", "table", "hidden")
+WIDGETS = ("text", "number", "radio", "select", "date", "datetime", "textarea", "checkbox", "repeating_rows", "signature", "nested_group", "hierarchical_table", "file", "unknown")
 SYNONYMS = {
     "infection rate": "infection_rate",
     "mortality rate": "mortality_rate",
@@ -53,11 +53,11 @@ SYNONYMS = {
 
 
 def arabic_chars(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, ARABIC, ""))
+    return F.regexp_count(text, F.lit(ARABIC))
 
 
 def latin_chars(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]", ""))
+    return F.regexp_count(text, F.lit("[A-Za-z]"))
 
 
 def language(arabic: Column, latin: Column) -> Column:
@@ -84,14 +84,18 @@ def nfkc(text: Column) -> Column:
     return fold(text)
 
 
-def fix_arabic(text: Column, reverse: Column) -> Column:
-    """NFKC, and word order turned round on reversed pages for texts that are over 30 percent Arabic."""
-    plain = nfkc(text)
+def turned_arabic(plain: Column, reverse: Column) -> Column:
+    """Words and their order turned round on reversed pages, for texts that are over 30 percent Arabic."""
     share = arabic_chars(plain) / F.greatest(F.length(plain), F.lit(1))
     turned = F.array_join(F.transform(F.reverse(F.split(plain, " ")), lambda w: F.reverse(w)), " ")
     return F.when(reverse & (share > 0.3), turned).otherwise(plain)
 
 
+def fix_arabic(text: Column, reverse: Column) -> Column:
+    """NFKC, then turned_arabic."""
+    return turned_arabic(nfkc(text), reverse)
+
+
 def widget(text: Column) -> Column:
     """The widget class of a cell's text, by ordered rules."""
     t = F.trim(text)
@@ -164,3 +168,11 @@ def synonyms(labels: DataFrame, text: str = "text", pairs: dict[str, str] = SYNO
 def retry_at(last: Column, attempts: Column, most: int = 5) -> Column:
     """When a failed job runs again: after 2^attempts minutes; null after the last attempt."""
     return F.when(attempts < most, last + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pow(F.lit(2.0), attempts) * 60))
+
+
+def block_text(kind: Column, title: Column, headers: Column, rows: Column) -> Column:
+    """A block as text: its kind and title, its headers over a rule, and its rows, an
+    array of arrays of cells. A block without title or headers has no such lines."""
+    named = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit("["), F.upper(kind), F.lit("] "), title))
+    ruled = F.when(F.coalesce(F.size(headers), F.lit(0)) > 0, F.concat(F.array_join(headers, " | "), F.lit("\n" + "-" * 40)))
+    return F.concat_ws("\n", named, ruled, F.array_join(F.transform(rows, lambda r: F.array_join(r, " | ")), "\n"))

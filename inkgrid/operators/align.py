@@ -44,6 +44,25 @@ def violations(space_a: Column, space_b: Column, page_a: tuple[Column, Column],
     )
 
 
+def rejected(tokens: DataFrame, regions: DataFrame, on: tuple[str, ...] = ("page",)) -> DataFrame:
+    """The coordinate firewall: pairs of a group that break a coordinate rule, as evidence
+    that crosses with a score of 0. Both sides have space, page_w and page_h. Only
+    spaces and page sizes decide, so those are paired, and then their members."""
+    keys, own = list(on), ("space", "page_w", "page_h")
+    kinds = tokens.select(*keys, *own).distinct().join(regions.select(*keys, *[F.col(c).alias(f"r_{c}") for c in own]).distinct(), keys)
+    broken = kinds.withColumn("violations", violations(F.col("space"), F.col("r_space"), (F.col("page_w"), F.col("page_h")), (F.col("r_page_w"), F.col("r_page_h")))).where(F.size("violations") > 0)
+    out = tokens.select(*keys, "token_id", *own).join(broken, [*keys, *own]).join(regions.select(*keys, "region_id", *[F.col(c).alias(f"r_{c}") for c in own]), [*keys, *[f"r_{c}" for c in own]])
+    return out.select(*keys, "token_id", "region_id", F.lit("crosses").alias("cls"), F.lit(0.0).alias("score"), "violations")
+
+
+def checked_align(tokens: DataFrame, regions: DataFrame, on: tuple[str, ...] = ("page",), cell: float = CELL) -> DataFrame:
+    """align() of pairs that keep the coordinate rules, and the rejected pairs with their violations."""
+    keys, sized = list(on), ("page_w", "page_h")
+    good = lambda df: df.where(F.col("space") == "page_pixels")
+    own = align(good(tokens), good(regions), (*on, *sized), cell).withColumn("violations", F.array().cast("array<string>"))
+    return own.select(*keys, "token_id", "region_id", "cls", "score", "violations").unionByName(rejected(tokens, regions, on))
+
+
 def align(tokens: DataFrame, regions: DataFrame, on: tuple[str, ...] = ("page",), cell: float = CELL) -> DataFrame:
     """Every match of a token with a region: inside if at least 0.85 of the token is
     covered (score: coverage), crosses if they overlap (score: IoU), touching if it is
@@ -131,9 +150,3 @@ def nested_grids(grids: DataFrame, cells: DataFrame, on: tuple[str, ...] = ("pag
     inner, outer = g.box(), g.box("r_")
     held = (outer[0] <= inner[0] + 10) & (outer[1] <= inner[1] + 10) & (outer[2] >= inner[2] - 10) & (outer[3] >= inner[3] - 10) & (g.area(inner) < 0.85 * g.area(outer))
     return pairs.where((F.col("grid_id") != F.col("r_grid_id")) & held).select(*on, "grid_id").distinct()
-
-
-def first_matches(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,14 +52,53 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def hypotheses(boxes: DataFrame, kind: str, geometry: Column, structure_score: Column, text: Column) -> DataFrame:
-    """Typed layout hypotheses with their priors; none is accepted yet."""
-    raw = 0.35 * geometry + 0.45 * text + 0.20 * structure_score
-    return boxes.withColumns({"hypothesis_type": F.lit(kind), "confidence": F.least(F.round(raw, 4), F.lit(1.0)), "accepted": F.lit(False)})
-
-
-# Priors of the hypothesis kinds, as functions of a detector's figures.
+# Sources, scores and hints of the kinds of layout hypotheses. A score is a
+# number, or the name of the column it is taken from.
+KINDS = {
+    "checkbox": {"type": "checkbox", "sources": ("opencv_morphology",), "geometry": "geometry_score", "text": 0.0, "with_text": 0.0, "structure": 0.5, "hint": "checkbox"},
+    "table_cell": {"type": "table_cell", "sources": ("structural_grid",), "geometry": "geometry_score", "text": 0.0, "with_text": 0.0, "structure": "structural_score", "hint": "text"},
+    "text_block": {"type": "text_block", "sources": ("native_text",), "geometry": 0.3, "text": "text_confidence", "with_text": "text_confidence", "structure": 0.0, "hint": "text"},
+    "section_header": {"type": "section_header", "sources": ("opencv_morphology", "structural_anchor"), "geometry": 0.8, "text": 0.0, "with_text": 0.6, "structure": 0.85, "hint": "text"},
+    "radio_group": {"type": "radio_group", "sources": ("opencv_morphology", "alignment_pattern"), "geometry": "alignment", "text": 0.0, "with_text": 0.5, "structure": 0.65, "hint": "radio"},
+    "merged_cell": {"type": "table_cell", "sources": ("structural_grid", "cell_merger"), "geometry": "confidence", "text": 0.0, "with_text": 0.0, "structure": 0.80, "hint": "span"},
+    "signature": {"type": "signature_area", "sources": ("opencv_morphology", "fill_ratio_analysis"), "geometry": "fill", "text": 0.0, "with_text": 0.3, "structure": 0.55, "hint": "signature"},
+}
+# What a detector's figure says of the geometry.
 PRIORS = {
-    "radio": lambda alignment: F.least(F.lit(0.95), alignment * 1.1),
-    "signature": lambda fill: F.greatest(F.lit(0.5), 1 - fill * 2.5),
+    "alignment": lambda c: F.least(F.lit(0.95), c * 1.1),
+    "fill": lambda c: F.greatest(F.lit(0.5), 1 - c * 2.5),
 }
+
+
+def hypotheses(boxes: DataFrame, kind: str) -> DataFrame:
+    """Boxes as layout hypotheses of a kind, with its priors; none is accepted yet. The kind's
+    figures are columns of boxes; `near_text` says what stands by, if the column is there."""
+    k = KINDS[kind]
+    near = F.col("near_text") if "near_text" in boxes.columns else F.lit(None).cast("string")
+    one = lambda v: F.lit(v) if isinstance(v, float) else PRIORS[v](F.col(v)) if v in PRIORS else F.col(v).cast("double")
+    said = F.when(F.coalesce(near, F.lit("")) != "", one(k["with_text"])).otherwise(one(k["text"]))
+    hint = F.concat(F.lit("span_"), F.col("rowspan").cast("string"), F.lit("r_"), F.col("colspan").cast("string"), F.lit("c")) if kind == "merged_cell" else F.lit(k["hint"])
+    scores = {"geometry_score": one(k["geometry"]), "text_score": said, "structural_score": one(k["structure"])}
+    out = boxes.select(*[c for c in boxes.columns if c not in scores], *[v.alias(c) for c, v in scores.items()])
+    fused = F.least(F.lit(1.0), 0.35 * F.col("geometry_score") + 0.45 * F.col("text_score") + 0.20 * F.col("structural_score"))
+    return out.withColumns({"hypothesis_type": F.lit(k["type"]), "evidence_sources": F.array(*map(F.lit, k["sources"])), "widget_hint": hint, "text_content": near, "fusion_score": F.round(fused, 4), "accepted": F.lit(False)})
+
+
+def registry(submitted: DataFrame, decisions: DataFrame, order: list[str]) -> DataFrame:
+    """The hypotheses of each page's registry in order of submission (`place`), with the latest
+    decision on each; those without one aren't accepted. An id that is submitted again stands
+    at both places with its latest contents. decisions: hypothesis_id, accepted, seq."""
+    from .state import latest_wins
+
+    own = [c for c in submitted.columns if c not in (*order, "accepted")]
+    last = latest_wins(submitted.select("hypothesis_id", *order, F.struct(*[c for c in own if c != "hypothesis_id"]).alias("_b")), ["hypothesis_id"], order).select("hypothesis_id", "_b.*")
+    said = latest_wins(decisions.select("hypothesis_id", "seq", "accepted"), ["hypothesis_id"], ["seq"]).drop("seq")
+    placed = submitted.select("page", "hypothesis_id", F.row_number().over(Window.partitionBy("page").orderBy(*order)).alias("place"))
+    return placed.join(last.drop("page"), "hypothesis_id").join(said, "hypothesis_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+def of_type(rows: DataFrame, kind: str | None = None, page: int | None = None, accepted: bool | None = None) -> DataFrame:
+    """The registered hypotheses of a type, a page or a verdict."""
+    for c, v in (("hypothesis_type", kind), ("page", page), ("accepted", accepted)):
+        rows = rows if v is None else rows.where(F.col(c) == v)
+    return rows

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.text import is_fragment, is_ghost, stable_id
+from ..functions.text import is_fragment, is_ghost
 
 # Defaults and factors of the page statistics.
 DEFAULTS = {"eps_y": 15.0, "eps_x": 20.0, "row_height": 20.0, "col_gap": 30.0}
@@ -31,34 +31,38 @@ def col_clusters(tokens: DataFrame, eps: Column | float, by: tuple[str, ...] = (
     return out.withColumn("col", F.max("col").over(Window.partitionBy(*by)) - F.col("col")) if rtl else out
 
 
-def robust_median(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """The median within 1.5 interquartile ranges of the quartiles; of all values if
-    there are under four of them, or under two left. Two passes over (key, value)."""
-    q = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(value).alias("n"), F.median(value).alias("plain"))
-    low, high = F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0]), F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
-    near = df.join(q, by).where((F.col(value) >= low) & (F.col(value) <= high)).groupBy(*by).agg(F.median(value).alias("inner"), F.count(value).alias("left"))
-    pick = F.when((F.col("n") >= 4) & (F.col("left") >= 2), F.col("inner")).otherwise(F.col("plain"))
-    return q.join(near, by, "left").select(*by, pick.alias(name))
+def _quantile(ordered: Column, q: float) -> Column:
+    """The q-quantile of a sorted array, between its neighbours in proportion; null if it is empty."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    a, b = F.get(ordered, low), F.get(ordered, F.ceil(at).cast("int"))
+    return F.when(F.size(ordered) > 0, a + (b - a) * (at - low))
+
+
+def robust_median(values: Column) -> Column:
+    """The median of an array within 1.5 interquartile ranges of the quartiles; of all values if
+    there are under four of them, or under two left."""
+    ordered = F.sort_array(values)
+    q1, q3 = _quantile(ordered, 0.25), _quantile(ordered, 0.75)
+    near = F.filter(ordered, lambda v: (v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1)))
+    return F.when((F.size(ordered) >= 4) & (F.size(near) >= 2), _quantile(near, 0.5)).otherwise(_quantile(ordered, 0.5))
 
 
 def page_geometry(tokens: DataFrame, by: tuple[str, ...] = ("page",)) -> DataFrame:
-    """eps_y, eps_x, row_height and col_gap of each document, from its own boxes."""
-    keys = list(by)
-    size = tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_boxes"))
-    heights = tokens.select(*keys, (F.col("y2") - F.col("y1")).alias("v")).where("v > 2")
-    starts = tokens.select(*keys, (F.bround(F.col("x1") / 5) * 5).alias("x")).distinct()
-    gaps = starts.withColumn("v", F.lead("x").over(Window.partitionBy(*keys).orderBy("x")) - F.col("x"))
-    columns = starts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_starts"))
-    widths = tokens.select(*keys, (F.col("x2") - F.col("x1")).alias("v"))
-    out = size.join(columns, keys)
-    for part in (robust_median(heights, keys, "v", "_h"), robust_median(gaps.where("v > 3"), keys, "v", "_g"), robust_median(widths, keys, "v", "_w")):
-        out = out.join(part, keys, "left")
+    """eps_y, eps_x, row_height and col_gap of each document, from its own boxes: one
+    aggregate that lists the sizes of a page, which bounds them."""
+    height = F.col("y2") - F.col("y1")
+    out = tokens.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_boxes"), F.collect_list(F.when(height > 2, height)).alias("_hs"),
+        F.sort_array(F.collect_set(F.bround(F.col("x1") / 5) * 5)).alias("_xs"), F.collect_list(F.col("x2") - F.col("x1")).alias("_ws"),
+    )
+    gaps = F.filter(F.zip_with(F.slice("_xs", 2, F.greatest(F.size("_xs") - 1, F.lit(0))), F.slice("_xs", 1, F.greatest(F.size("_xs") - 1, F.lit(0))), lambda b, a: b - a), lambda v: v > 3)
     few = F.col("n_boxes") < 3
-    height = F.when(few, DEFAULTS["row_height"]).otherwise(F.coalesce("_h", F.lit(20.0)))
-    gap = F.when(few, DEFAULTS["col_gap"]).when(F.col("n_starts") > 1, F.coalesce("_g", F.lit(30.0))).otherwise(F.col("_w") / 2)
-    out = out.withColumns({"row_height": height, "col_gap": gap})
+    size = F.when(few, DEFAULTS["row_height"]).otherwise(F.coalesce(robust_median(F.col("_hs")), F.lit(20.0)))
+    gap = F.when(few, DEFAULTS["col_gap"]).when(F.size("_xs") > 1, F.coalesce(robust_median(gaps), F.lit(30.0))).otherwise(robust_median(F.col("_ws")) / 2)
+    out = out.select(*by, "n_boxes", size.alias("row_height"), gap.alias("col_gap"))
     return out.select(
-        *keys, "n_boxes", "row_height", "col_gap",
+        *by, "n_boxes", "row_height", "col_gap",
         F.when(few, DEFAULTS["eps_y"]).otherwise(F.greatest(F.lit(8.0), F.col("row_height") * 0.65)).alias("eps_y"),
         F.when(few, DEFAULTS["eps_x"]).otherwise(F.greatest(F.lit(10.0), F.col("col_gap") * 0.55)).alias("eps_x"),
     )
@@ -126,13 +130,13 @@ def leader_axes(lines: DataFrame, by: tuple[str, ...] = ("page", "orientation"),
     return long_.join(axes, [*by, "axis"])
 
 
-def line_gaps(fragments: DataFrame, by: tuple[str, ...] = ("page", "orientation", "leader"), tolerance: float = 2.0) -> DataFrame:
+def line_gaps(fragments: DataFrame, by: tuple[str, ...] = ("page", "orientation", "leader"), tolerance: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """The gaps between the fragments of each axis, once overlapping ones (up to the
-    tolerance) are merged."""
+    tolerance) are merged; with columns to keep that are the same for an axis."""
     w = Window.partitionBy(*by).orderBy("start", "stop")
     reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
     gaps = fragments.withColumn("gap_start", reach).where(F.col("start") > F.col("gap_start") + tolerance)
-    return gaps.select(*by, "gap_start", F.col("start").alias("gap_stop"), (F.col("start") - F.col("gap_start")).alias("gap")).distinct()
+    return gaps.select(*by, *keep, "gap_start", F.col("start").alias("gap_stop"), (F.col("start") - F.col("gap_start")).alias("gap")).distinct()
 
 
 def token_chains(tokens: DataFrame, by: tuple[str, ...] = ("page",), x_tol: float = 8.0, y_tol: float = 4.0) -> DataFrame:
@@ -176,9 +180,45 @@ def nearest_rows(tokens: DataFrame, by: tuple[str, ...] = ("page",), eps: float
     return out.select(*by, F.col(f"z.{names[0]}").alias("token_id"), F.col(f"z.{names[1]}").alias("row"))
 
 
-def cell_fields(cells: DataFrame, kind: Column, label: Column) -> DataFrame:
-    """Fields of cells: widget, label, and whether they need a look (confidence under 0.65)."""
-    return cells.withColumn("widget", kind).withColumn("label", label).withColumn("needs_qa", F.col("confidence") < 0.65)
+def column_centres(tokens: DataFrame, by: tuple[str, ...] = ("page",), eps: float = 40.0) -> DataFrame:
+    """The rolling centres of each page's columns: over the sorted distinct centres (to one
+    place), a centre within eps of the last column moves it half way to itself."""
+    def step(s: Column, c: Column) -> Column:
+        last = F.element_at(s, -1)
+        near = (F.size(s) > 0) & (F.abs(c - last) <= eps)
+        return F.when(near, F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array((last + c) / 2))).otherwise(F.concat(s, F.array(c)))
+
+    centres = F.array_sort(F.collect_set(F.round(g.x_center(g.box()), 1)))
+    return tokens.groupBy(*by).agg(F.aggregate(centres, F.array().cast("array<double>"), step).alias("centres"))
+
+
+def nearest_cells(tokens: DataFrame, by: tuple[str, ...] = ("page",), row_eps: float = 15.0, col_eps: float = 40.0) -> DataFrame:
+    """A dense grid without clusters: rows by running means (nearest_rows), columns by the nearest
+    rolling centre, the first of equally near ones. Empty cells have an empty text and confidence 0."""
+    keys = list(by)
+    centres = column_centres(tokens, by, col_eps)
+    x = g.x_center(g.box())
+    gaps = F.transform("centres", lambda c: F.abs(c - F.col("_x")))
+    placed = tokens.withColumn("_x", x).join(nearest_rows(tokens, by, row_eps), [*keys, "token_id"]).join(centres, keys).withColumn("col", F.array_position(gaps, F.array_min(gaps)).cast("int") - 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_x", "token_id", "text"))), lambda t: t["text"]), " ")
+    full = placed.groupBy(*keys, "row", "col").agg(text.alias("text"), F.round(F.avg("confidence"), 6).alias("confidence"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    rows = placed.groupBy(*keys).agg(F.max("row").alias("_r")).join(centres, keys)
+    dense = rows.select(*keys, F.explode(F.sequence(F.lit(0), "_r")).alias("row"), "centres").select(*keys, "row", F.explode(F.sequence(F.lit(0), F.size("centres") - 1)).alias("col"))
+    return dense.join(full, [*keys, "row", "col"], "left").withColumns({"text": F.coalesce("text", F.lit("")), **{c: F.coalesce(c, F.lit(0.0)) for c in ("confidence", "x1", "y1", "x2", "y2")}})
+
+
+def ordered_tokens(tokens: DataFrame, by: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Tokens numbered in reading order of their page: by y1, then x1, ties by id and contents."""
+    return tokens.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("y1", "x1", "token_id", "text", "x2")))
+
+
+def cell_fields(cells: DataFrame, kind: Column, label: Column, page_w: Column | None = None, page_h: Column | None = None) -> DataFrame:
+    """Fields of cells: widget, label, and whether they need a look (confidence under 0.65);
+    with the size of the page, also the box in parts of it (nx1 to ny2)."""
+    out = cells.withColumn("widget", kind).withColumn("label", label).withColumn("needs_qa", F.col("confidence") < 0.65)
+    if page_w is None or page_h is None:
+        return out
+    return out.withColumns(dict(zip(("nx1", "ny1", "nx2", "ny2"), g.normalized(g.box(), F.lit("page_pixels"), page_w, page_h), strict=True)))
 
 
 def group_options(fields: DataFrame, by: tuple[str, ...] = ("page", "row")) -> DataFrame:
@@ -189,7 +229,7 @@ def group_options(fields: DataFrame, by: tuple[str, ...] = ("page", "row")) -> D
     colon itself. A fold per row: its state is the fields taken so far and the label
     that still collects; a label that got too few gives its options back."""
     item = "struct<col:int,label:string,widget:string>"
-    done = f"array<struct<col:int,label:string,widget:string,options:array<string>>>"
+    done = "array<struct<col:int,label:string,widget:string,options:array<string>>>"
     opt = "array<" + item + ">"
     start = F.struct(F.array().cast(done).alias("done"), F.lit(None).cast(item).alias("head"), F.array().cast(opt).alias("opts"))
     colon = lambda f: F.coalesce(F.rtrim(f["label"]).endswith(":"), F.lit(False))
@@ -218,7 +258,3 @@ def group_options(fields: DataFrame, by: tuple[str, ...] = ("page", "row")) -> D
     listed = F.array_sort(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), "label", "widget")))
     out = fields.groupBy(*by).agg(listed.alias("f")).select(*by, F.explode(F.aggregate("f", start, step, settled)).alias("f"))
     return out.select(*by, "f.col", "f.label", "f.widget", F.size("f.options").alias("n_options"), F.array_join("f.options", "|").alias("options"))
-
-
-def cell_ids(cells: DataFrame, by: tuple[str, ...] = ("page",)) -> DataFrame:
-    return cells.withColumn("cell_id", stable_id(*[F.col(c) for c in by], F.col("row"), F.col("col"), F.col("text")))

@@ -55,3 +55,17 @@ def with_values(fields: DataFrame, alignments: DataFrame, tokens: DataFrame, on:
     inside = alignments.where("cls = 'inside'").join(tokens.select(*on, "token_id", "x1", "y1", "text"), [*on, "token_id"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y1", "x1", "token_id", "text"))), lambda t: t["text"]), " ")
     return fields.join(inside.groupBy(*on, "region_id").agg(text.alias("value")), [*on, "region_id"], "left")
+
+
+def alignment_view(alignments: DataFrame, tokens: DataFrame, regions: DataFrame, on: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Each alignment with the text and box of its token and the box of its region."""
+    box = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")]
+    own = tokens.select(*on, "token_id", "text", *box("token"))
+    return alignments.join(own, [*on, "token_id"]).join(regions.select(*on, "region_id", *box("region")), [*on, "region_id"])
+
+
+def first_tokens(fields: DataFrame, tokens: DataFrame, ids: str = "token_ids", on: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Fields with the text of the first of their tokens that exists."""
+    named = fields.select(*on, "field_id", F.posexplode(ids).alias("_at", "token_id")).join(tokens.select(*on, "token_id", "text"), [*on, "token_id"])
+    first = named.groupBy(*on, "field_id").agg(F.min_by("text", "_at").alias("first_text"))
+    return fields.join(first, [*on, "field_id"], "left")

@@ -52,3 +52,8 @@ def governance(confidence: Column, automatic: float = 0.90, review: float = 0.70
 
 def extraction_mode(native: Column, total: Column) -> Column:
     return F.when(native == total, "native").when(native == 0, "ocr").otherwise("hybrid")
+
+
+def upload_refused(name: Column, n_bytes: Column, most_mb: int = 50) -> Column:
+    """Why a document isn't taken; null if it is."""
+    return F.when(~F.lower(name).endswith(".pdf"), "not a pdf").when(n_bytes > most_mb << 20, f"over {most_mb} MB")

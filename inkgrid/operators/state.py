@@ -81,14 +81,17 @@ def patch_regions(regions: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def apply_corrections(fields: DataFrame, corrections: DataFrame, on: list[str], order: list[str]) -> DataFrame:
-    """Fields with their latest correction: label and widget where given, human_corrected
+    """Fields with their latest correction: label, widget and note where given, human_corrected
     set, needs_qa cleared. Of several fields at a place only the first (by field_id)."""
-    new = latest_wins(corrections, on, order).select(*on, F.col("label").alias("_label"), F.col("widget").alias("_widget"), F.lit(True).alias("_hit"))
+    texts = [c for c in ("label", "widget", "note") if c in corrections.columns]
+    new = latest_wins(corrections, on, order).select(*on, *[F.col(c).alias(f"_{c}") for c in texts], F.lit(True).alias("_hit"))
+    if "note" in texts and "note" not in fields.columns:
+        fields = fields.withColumn("note", F.lit(None).cast("string"))
     w = Window.partitionBy(*on).orderBy("field_id")
     out = fields.withColumn("_n", F.row_number().over(w)).join(new, on, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("_n") == 1)
     given = lambda c: F.when(hit, F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), F.col(c))).otherwise(F.col(c))
-    return out.withColumns({"label": given("label"), "widget": given("widget"), "human_corrected": hit, "needs_qa": F.col("needs_qa") & ~hit}).drop("_n", "_label", "_widget", "_hit")
+    return out.withColumns({**{c: given(c) for c in texts}, "human_corrected": hit, "needs_qa": F.col("needs_qa") & ~hit}).drop("_n", "_hit", *[f"_{c}" for c in texts])
 
 
 def approvals(fields: DataFrame, key: str) -> DataFrame:
@@ -97,11 +100,11 @@ def approvals(fields: DataFrame, key: str) -> DataFrame:
     return fields.groupBy(key).agg(F.count(F.lit(1)).alias("n_fields"), issues.alias("open_issues")).withColumn("qa_status", F.when(F.col("open_issues") == 0, "approved").otherwise("pending"))
 
 
-def content_hash(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: the count and an order-free digest of a table's contents, to tell whether
-    a replay gave the same result."""
+def content_hash(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for the table, or for each part of it: the count and an order-free digest of the
+    contents, to tell whether a replay gave the same result."""
     h = F.xxhash64(*columns)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("parity"), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 40))), F.lit(0)).alias("total"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("parity"), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 40))), F.lit(0)).alias("total"))
 
 
 def diff(expected: DataFrame, actual: DataFrame, keys: list[str], exact: list[str], near: dict[str, float]) -> DataFrame:
@@ -134,3 +137,11 @@ def adjacency(edges: DataFrame) -> DataFrame:
     out = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "edge_type")
     back = edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "edge_type")
     return out.union(back).groupBy("node").agg(F.countDistinct("other").alias("degree"), F.sort_array(F.collect_set("edge_type")).alias("types"))
+
+
+def dead_letters(rows: DataFrame, failed: Column, at: str, attempts: str = "attempts") -> tuple[DataFrame, DataFrame]:
+    """The rows that went well, and the failed ones with the time of their next try."""
+    from ..functions.text import retry_at
+
+    bad = rows.where(failed).withColumn("retry_at", retry_at(F.col(at), F.col(attempts)))
+    return rows.where(~failed), bad.withColumn("exhausted", F.col("retry_at").isNull())

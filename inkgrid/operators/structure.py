@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import leader_axes, line_gaps, snap
+from .cluster import islands, leader_axes, line_gaps
 
 # Thresholds in pixels and in parts of the page.
 SNAP, AXIS_NEAR, MAX_GAP, MIN_SCORE = 8.0, 12.0, 80.0, 0.55
@@ -51,35 +51,34 @@ def table_zones(lines: DataFrame, page_w: float, page_h: float, on: tuple[str, .
     return out.select(*keys, F.greatest(F.lit(0.0), F.col("lo") - 5).alias("x1"), "y1", F.least(F.lit(page_w), F.col("hi") + 5).alias("x2"), "y2", "n_h", "n_v")
 
 
-def _positions(lines: DataFrame, orientation: str, on: list[str], tolerance: float) -> DataFrame:
-    """Consensus positions of a page's lines of one orientation, numbered from 0."""
-    own = snap(lines.where(F.col("orientation") == orientation), on, "axis", tolerance)
-    w = Window.partitionBy(*on).orderBy("position")
-    return own.select(*on, "position", (F.row_number().over(w) - 1).alias("k"), F.lead("position").over(w).alias("next"))
-
-
 def grid_edges(lines: DataFrame, on: tuple[str, ...] = ("page",), tolerance: float = SNAP) -> DataFrame:
     """The edges of each page's grid: orientation, row and col of their first node, the
     span, and is_inferred where no detected line covers them.
 
-    Pages have one grid, all crossings of its horizontal and vertical positions."""
+    Pages have one grid, all crossings of its horizontal and vertical positions. A line lies
+    more than the tolerance from the lines of other positions, so only those of its own can
+    cover an edge. Everything is made from one list of positions per page, whose size the page bounds."""
     keys = list(on)
-    h, v = _positions(lines, "horizontal", keys, tolerance), _positions(lines, "vertical", keys, tolerance)
-    both = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("nh")).join(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("nv")), keys).where("nh >= 2 and nv >= 2").select(*keys)
-    h, v = h.join(both, keys, "left_semi"), v.join(both, keys, "left_semi")
+    chained = islands(lines, F.col("axis"), tolerance, [*keys, "orientation"], "axis", "_g")
+    ends = F.struct("axis", "start", "stop")
+    own = chained.groupBy(*keys, "orientation", "_g").agg(F.avg("axis").alias("position"), F.collect_list(ends).alias("ls"))
+    own = own.select(*keys, "orientation", F.struct("position", F.filter("ls", lambda x: F.abs(x["axis"] - F.col("position")) < tolerance).alias("ls")).alias("p"))
+    at = lambda kind: F.sort_array(F.collect_list(F.when(F.col("orientation") == kind, F.col("p"))))
+    pages = own.groupBy(*keys).agg(at("horizontal").alias("h"), at("vertical").alias("v")).where((F.size("h") >= 2) & (F.size("v") >= 2))
+
+    def edges(along: str, across: str, orientation: str) -> Column:
+        steps = F.sequence(F.lit(0), F.size(across) - 2)
 
-    def edges(along: DataFrame, across: DataFrame, orientation: str) -> DataFrame:
-        a = along.select(*keys, F.col("position").alias("axis"), F.col("k").alias("line"))
-        b = across.where("next is not null").select(*keys, F.col("position").alias("from"), F.col("next").alias("to"), F.col("k").alias("step"))
-        spans = a.join(b, keys)
-        own = lines.where(F.col("orientation") == orientation).select(*keys, F.col("axis").alias("l_axis"), F.col("start").alias("l_start"), F.col("stop").alias("l_stop"))
-        cover = (F.abs(F.col("l_axis") - F.col("axis")) < tolerance) & (F.col("l_start") <= F.col("from") + tolerance) & (F.col("l_stop") >= F.col("to") - tolerance)
-        covered = spans.join(own, keys).where(cover).select(*keys, "line", "step").distinct().withColumn("_c", F.lit(True))
-        out = spans.join(covered, [*keys, "line", "step"], "left")
-        row, col = ("line", "step") if orientation == "horizontal" else ("step", "line")
-        return out.select(*keys, F.lit(orientation).alias("orientation"), F.col(row).cast("int").alias("row"), F.col(col).cast("int").alias("col"), "axis", "from", "to", F.col("_c").isNull().alias("is_inferred"))
+        def edge(line: Column, i: Column, j: Column) -> Column:
+            low, high = F.col(across)[j]["position"], F.col(across)[j + 1]["position"]
+            covered = F.exists(line["ls"], lambda x: (x["start"] <= low + tolerance) & (x["stop"] >= high - tolerance))
+            row, col = (i, j) if orientation == "horizontal" else (j, i)
+            return F.struct(F.lit(orientation).alias("orientation"), row.alias("row"), col.alias("col"), line["position"].alias("axis"), low.alias("from"), high.alias("to"), (~covered).alias("is_inferred"))
 
-    return edges(h, v, "horizontal").unionByName(edges(v, h, "vertical"))
+        return F.flatten(F.transform(along, lambda line, i: F.transform(steps, lambda j: edge(line, i, j))))
+
+    both = F.concat(edges("h", "v", "horizontal"), edges("v", "h", "vertical"))
+    return pages.select(*keys, F.explode(both).alias("e")).select(*keys, "e.*")
 
 
 def grids(edges: DataFrame, on: tuple[str, ...] = ("page",)) -> DataFrame:
@@ -99,9 +98,11 @@ _MERGED = "root_row int, root_col int, row_start int, row_end int, col_start int
 def merged_cells(edges: DataFrame, on: str = "page", max_span: int = 6) -> DataFrame:
     """Cells of each page's grid, merged where the edge between them is inferred.
     Union-find over one page's grid at a time, whose size the page bounds."""
-    size = grids(edges, (on,)).select(on, "n_rows", "n_cols")
-    inner = edges.join(size, on).where(F.col("is_inferred") & F.when(F.col("orientation") == "horizontal", (F.col("row") > 0) & (F.col("row") < F.col("n_rows"))).otherwise((F.col("col") > 0) & (F.col("col") < F.col("n_cols"))))
-    listed = size.join(inner.groupBy(on).agg(F.collect_list(F.struct("orientation", "row", "col")).alias("open")), on, "left")
+    flat = F.col("orientation") == "horizontal"
+    listed = edges.groupBy(on).agg(F.max(F.when(flat, F.col("row"))).alias("n_rows"), F.max(F.when(~flat, F.col("col"))).alias("n_cols"), F.collect_list(F.when(F.col("is_inferred"), F.struct("orientation", "row", "col"))).alias("open"))
+    # Edges on the rim part no two cells.
+    inner = F.filter("open", lambda e: F.when(e["orientation"] == "horizontal", (e["row"] > 0) & (e["row"] < F.col("n_rows"))).otherwise((e["col"] > 0) & (e["col"] < F.col("n_cols"))))
+    listed = listed.withColumn("open", inner)
 
     def merge(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -136,28 +137,26 @@ def merged_cells(edges: DataFrame, on: str = "page", max_span: int = 6) -> DataF
     return listed.mapInPandas(merge, f"{on} {kind}, {_MERGED}")
 
 
-def score_gaps(gaps: DataFrame, axes: DataFrame, on: tuple[str, ...] = ("page",)) -> DataFrame:
+def score_gaps(gaps: DataFrame) -> DataFrame:
     """Adds the alignment score of each gap: 0.35 for a crossing axis near its start,
-    0.35 near its end, 0.15 for one inside, 0.15 for a parallel axis 5 to 200 pixels away."""
-    keys = list(on)
-    per = axes.groupBy(*keys, "orientation").agg(F.collect_set("leader").alias("at"))
-    own = gaps.join(per.withColumnRenamed("at", "_own"), [*keys, "orientation"], "left")
-    other = per.select(*keys, F.when(F.col("orientation") == "horizontal", "vertical").otherwise("horizontal").alias("orientation"), F.col("at").alias("_cross"))
-    out = own.join(other, [*keys, "orientation"], "left")
-    none = F.array().cast("array<double>")
-    cross, same = F.coalesce("_cross", none), F.coalesce("_own", none)
+    0.35 near its end, 0.15 for one inside, 0.15 for a parallel axis 5 to 200 pixels away.
+    The page's axes of both orientations are in the arrays _h and _v."""
+    flat = F.col("orientation") == "horizontal"
+    cross, same = F.when(flat, F.col("_v")).otherwise(F.col("_h")), F.when(flat, F.col("_h")).otherwise(F.col("_v"))
     near = lambda at: F.exists(cross, lambda a: F.abs(a - at) <= AXIS_NEAR)
     within = F.exists(cross, lambda a: (a > F.col("gap_start")) & (a < F.col("gap_stop")))
     beside = (F.size(same) >= 2) & F.exists(same, lambda a: (F.abs(a - F.col("leader")) > 5) & (F.abs(a - F.col("leader")) < 200))
     part = lambda cond, v: F.when(cond, v).otherwise(0)
     hundredths = part(near(F.col("gap_start")), 35) + part(near(F.col("gap_stop")), 35) + part(within, 15) + part(beside, 15)
-    return out.withColumn("score", hundredths / 100.0).drop("_own", "_cross")
+    return gaps.withColumn("score", hundredths / 100.0).drop("_h", "_v")
 
 
 def fill_gaps(lines: DataFrame, on: tuple[str, ...] = ("page",), most: float = MAX_GAP, least_score: float = MIN_SCORE) -> DataFrame:
     """An audit row per gap of each axis, with its score and whether it is filled."""
-    axes = leader_axes(lines, (*on, "orientation"))
-    gaps = score_gaps(line_gaps(axes, (*on, "orientation", "leader")), axes.select(*on, "orientation", "leader").distinct(), on)
+    page = Window.partitionBy(*on)
+    own = lambda kind: F.sort_array(F.collect_set(F.when(F.col("orientation") == kind, F.col("leader"))).over(page))
+    axes = leader_axes(lines, (*on, "orientation")).withColumns({"_h": own("horizontal"), "_v": own("vertical")})
+    gaps = score_gaps(line_gaps(axes, (*on, "orientation", "leader"), keep=("_h", "_v")))
     large = F.col("gap") > most
     out = gaps.withColumn("score", F.when(large, 0.0).otherwise(F.col("score")))
     return out.withColumn("accepted", ~large & (F.col("score") >= least_score))
@@ -170,8 +169,9 @@ def filled_lines(lines: DataFrame, audit: DataFrame, on: tuple[str, ...] = ("pag
 
 
 def box_rules(boxes: DataFrame) -> DataFrame:
-    """Accepts checkbox candidates by size, shape and fill, with their confidence."""
+    """Accepts checkbox candidates (w, h, extent, fill) by size, shape and fill. A shape
+    scores as it fills its box; fills other than those of an outline take from it."""
     ratio = F.col("w") / F.col("h")
     ok = F.col("w").between(12, 165) & F.col("h").between(12, 165) & ratio.between(0.70, 1.43) & (F.col("extent") >= 0.55) & F.col("fill").between(0.04, 0.48)
-    shape: Column = F.least(ratio, 1 / ratio)
+    shape: Column = F.least(F.lit(1.0), F.col("extent") * 1.2)
     return boxes.where(ok).withColumn("confidence", F.least(F.lit(1.0), shape * (1 - F.abs(F.col("fill") - 0.18) * 2)))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import both, spark_only
+from .catalog import both
 from .functions import geometry as g
 from .functions.text import label, widget
 from .operators import align, cluster, fuse, quality, structure, templates
+from .queries_records import _WIDGET as WIDGET_SQL
 from .views import PAGE_H, PAGE_W, lines, regions, tokens, with_views
 
 _INTER = "CASE WHEN least(t.x2, r.x2) > greatest(t.x1, r.x1) AND least(t.y2, r.y2) > greatest(t.y1, r.y1) THEN (least(t.x2, r.x2) - greatest(t.x1, r.x1)) * (least(t.y2, r.y2) - greatest(t.y1, r.y1)) ELSE 0.0e0 END"
@@ -184,7 +185,18 @@ def page_field_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _cells(spark, sf).groupBy("page").agg(F.count(F.lit(1)).alias("n_fields"), F.count_if(F.col("confidence") < 0.945).alias("issues"), F.count_if(F.col("source") == "native").alias("native_fields"))
 
 
-@spark_only
+_LABEL = "CASE WHEN widget = 'checkbox' THEN coalesce(nullif(trim(regexp_replace(own, '□|☐|☑|✓|✗|\\[\\s*\\]|\\(\\s*\\)', '', 'g')), ''), 'اختيار') ELSE own END"
+
+
+@both(with_views(_CELLS + f""", c AS (SELECT page, row, col, CASE WHEN col % 3 = 0 THEN concat(text, ':') ELSE text END AS t FROM cells),
+w AS (SELECT *, {WIDGET_SQL} AS widget, CASE WHEN trim(split_part(t, chr(10), 1)) = '' THEN substr(t, 1, 80) ELSE trim(split_part(t, chr(10), 1)) END AS own FROM c),
+l AS (SELECT page, row, col, widget, {_LABEL} AS label FROM w),
+m AS (SELECT *, rtrim(label) LIKE '%:' AS colon, lag(widget) OVER (PARTITION BY page, row ORDER BY col) IN ('text', 'number', 'date', 'checkbox') AND NOT rtrim(label) LIKE '%:' AND (widget = 'checkbox' OR widget = 'text' AND length(label) < 20) AS joins FROM l),
+k AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY page, row ORDER BY col ROWS UNBOUNDED PRECEDING) AS grp FROM m),
+h AS (SELECT *, count(*) OVER (PARTITION BY page, row, grp) - 1 AS n, first_value(colon) OVER (PARTITION BY page, row, grp ORDER BY col) AS lead_colon FROM k),
+z AS (SELECT *, n >= 2 OR n = 1 AND lead_colon AS chosen FROM h)
+SELECT page, row, col, label, widget, 0 AS n_options, '' AS options FROM z WHERE NOT chosen
+UNION ALL SELECT page, row, min(col), trim(replace(arg_min(label, col), ':', '')), 'select', cast(any_value(n) AS integer), string_agg(label, '|' ORDER BY col) FILTER (joins) FROM z WHERE chosen GROUP BY page, row, grp""", "tokens"))
 def option_groups(spark: SparkSession, sf: str) -> DataFrame:
     cells = _cells(spark, sf).withColumn("text", F.when(F.col("col") % 3 == 0, F.concat("text", F.lit(":"))).otherwise(F.col("text")))
     kind = widget(F.col("text"))
@@ -229,12 +241,6 @@ def gap_audit(spark: SparkSession, sf: str) -> DataFrame:
     return structure.fill_gaps(lines(spark, sf))
 
 
-@spark_only
-def filled_lines(spark: SparkSession, sf: str) -> DataFrame:
-    own = lines(spark, sf)
-    return structure.filled_lines(own, structure.fill_gaps(own))
-
-
 @both(with_views("""marked AS (SELECT *, floor(y1 / 4) AS line FROM tokens),
 gp AS (SELECT *, abs(y1 - lag(y1) OVER w) <= 4 AND (lag(x1) OVER w - x2 BETWEEN 0 AND 8 OR x1 - lag(x2) OVER w BETWEEN 0 AND 8) AS near, lag(x1) OVER w IS NULL AS head FROM marked WINDOW w AS (PARTITION BY page ORDER BY line, x2 DESC, token_id)),
 ch AS (SELECT *, cast(sum(CASE WHEN head OR near THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY line, x2 DESC, token_id ROWS UNBOUNDED PRECEDING) AS integer) AS chain FROM gp)
@@ -253,11 +259,6 @@ def table_grid(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.table_grid(tokens(spark, sf))
 
 
-@spark_only
-def nearest_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.nearest_rows(tokens(spark, sf))
-
-
 @both(with_views(f"""long AS (SELECT page, min(axis) AS first, max(axis) AS last FROM lines WHERE orientation = 'horizontal' AND stop - start > 120 GROUP BY page)
 SELECT page, 'header' AS region_type, 0.0e0 AS y1, first AS y2, 0.85e0 AS confidence FROM long WHERE first > 10 AND first < {PAGE_H} * 0.2e0
 UNION ALL SELECT page, 'footer', last, cast({PAGE_H} AS double), 0.8e0 FROM long WHERE last > {PAGE_H} * 0.8e0""", "lines"))
@@ -289,11 +290,9 @@ edges AS (SELECT s.*, NOT EXISTS (SELECT 1 FROM lines l WHERE l.page = s.page AN
 """
 
 
-@both(with_views(_EDGES + "SELECT page, orientation, count(*) AS n_edges, count(*) FILTER (is_inferred) AS n_inferred, cast(max(line) AS integer) AS lines, cast(max(step) AS integer) AS steps FROM edges GROUP BY page, orientation", "lines"))
+@both(with_views(_EDGES + "SELECT page, orientation, cast(CASE WHEN orientation = 'horizontal' THEN line ELSE step END AS integer) AS row, cast(CASE WHEN orientation = 'horizontal' THEN step ELSE line END AS integer) AS col, round(axis, 6) AS axis, round(f, 6) AS \"from\", round(t, 6) AS \"to\", is_inferred FROM edges", "lines"))
 def grid_edges(spark: SparkSession, sf: str) -> DataFrame:
-    e = structure.grid_edges(lines(spark, sf))
-    h = F.col("orientation") == "horizontal"
-    return e.groupBy("page", "orientation").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("is_inferred").alias("n_inferred"), F.max(F.when(h, F.col("row")).otherwise(F.col("col"))).alias("lines"), F.max(F.when(h, F.col("col")).otherwise(F.col("row"))).alias("steps"))
+    return structure.grid_edges(lines(spark, sf)).withColumns({c: F.round(c, 6) for c in ("axis", "from", "to")})
 
 
 @both(with_views(_EDGES + "SELECT page, cast(max(line) FILTER (orientation = 'horizontal') AS integer) AS n_rows, cast(max(line) FILTER (orientation = 'vertical') AS integer) AS n_cols, count(*) FILTER (is_inferred) AS n_inferred, CASE WHEN count(*) FILTER (is_inferred) > 0 THEN 0.7e0 ELSE 0.9e0 END AS confidence FROM edges GROUP BY page", "lines"))
@@ -301,7 +300,17 @@ def page_grids(spark: SparkSession, sf: str) -> DataFrame:
     return structure.grids(structure.grid_edges(lines(spark, sf))).select("page", "n_rows", "n_cols", "n_inferred", "confidence")
 
 
-@spark_only
+@both("WITH RECURSIVE " + with_views(_EDGES, "lines").strip().removeprefix("WITH ").rstrip().rstrip(",") + """,
+size AS (SELECT page, max(line) FILTER (orientation = 'horizontal') AS nr, max(line) FILTER (orientation = 'vertical') AS nc FROM edges GROUP BY page),
+cells AS (SELECT page, r, unnest(range(0, nc)) AS c FROM (SELECT page, nc, unnest(range(0, nr)) AS r FROM size)),
+opened AS (SELECT page, CASE WHEN orientation = 'horizontal' THEN line - 1 ELSE step END AS r, CASE WHEN orientation = 'horizontal' THEN step ELSE line - 1 END AS c, CASE WHEN orientation = 'horizontal' THEN line ELSE step END AS r2, CASE WHEN orientation = 'horizontal' THEN step ELSE line END AS c2
+  FROM edges JOIN size USING (page) WHERE is_inferred AND line > 0 AND line < CASE WHEN orientation = 'horizontal' THEN nr ELSE nc END),
+adj AS (SELECT page, r * 10000 + c AS a, r2 * 10000 + c2 AS b FROM opened UNION ALL SELECT page, r2 * 10000 + c2, r * 10000 + c FROM opened),
+lab(page, a, m) USING KEY (page, a) AS (SELECT page, r * 10000 + c, r * 10000 + c FROM cells
+  UNION SELECT x.page, adj.b, min(x.m) FROM lab x JOIN adj ON adj.page = x.page AND adj.a = x.a JOIN recurring.lab y ON y.page = x.page AND y.a = adj.b AND y.m > x.m GROUP BY ALL),
+g AS (SELECT page, m, min(a // 10000) AS row_start, max(a // 10000) AS row_end, min(a % 10000) AS col_start, max(a % 10000) AS col_end, count(*) AS n FROM lab GROUP BY page, m)
+SELECT page, cast(m // 10000 AS integer) AS root_row, cast(m % 10000 AS integer) AS root_col, cast(row_start AS integer) AS row_start, cast(row_end AS integer) AS row_end, cast(col_start AS integer) AS col_start, cast(col_end AS integer) AS col_end,
+ cast(least(row_end - row_start + 1, 6) AS integer) AS rowspan, cast(least(col_end - col_start + 1, 6) AS integer) AS colspan, row_end > row_start OR col_end > col_start AS is_merged, cast(n AS integer) AS n_cells, CASE WHEN row_end > row_start OR col_end > col_start THEN 0.75e0 ELSE 0.9e0 END AS confidence FROM g""")
 def merged_cells(spark: SparkSession, sf: str) -> DataFrame:
     return structure.merged_cells(structure.grid_edges(lines(spark, sf)))
 

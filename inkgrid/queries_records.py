@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .catalog import both, spark_only
+from .catalog import both
 from .functions import text as tx
-from .operators import analytics, render, state
+from .operators import analytics, render, state, vectors
 from .views import regions
 
 
@@ -181,11 +181,18 @@ def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", tx.retry_at(F.col("ts"), F.col("event_id") % 7).alias("retry_at"))
 
 
-@both("SELECT cast(least(1.0, 1.0) AS double) AS same, count(*) AS n FROM orders")
+@both("SELECT o_orderstatus AS part, count(*) AS n, true AS same, count(*) FILTER (o_orderkey % 1000 = 0) = 0 AS same_with_change FROM orders GROUP BY 1")
 def replay_is_equal(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of all columns of each part of a table, made again in another order, and
+    with every thousandth price changed by a cent: only those parts differ."""
     own = _t(spark, sf, "orders")
-    once, again = (state.content_hash(d, ["o_orderkey", "o_custkey", "o_totalprice"]) for d in (own, own.repartition(7)))
-    return once.join(again.withColumnsRenamed({c: f"{c}_" for c in again.columns}), F.col("n") == F.col("n_")).select(((F.col("parity") == F.col("parity_")) & (F.col("total") == F.col("total_"))).cast("double").alias("same"), "n")
+    changed = own.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1000 == 0, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice")))
+
+    def digest(d: DataFrame, name: str) -> DataFrame:
+        return state.content_hash(d, sorted(own.columns), ("o_orderstatus",)).select(F.col("o_orderstatus").alias("part"), "n", F.struct("n", "parity", "total").alias(name))
+
+    out = digest(own, "a").join(digest(own.repartition(7), "b").drop("n"), "part").join(digest(changed, "c").drop("n"), "part")
+    return out.select("part", "n", (F.col("a") == F.col("b")).alias("same"), (F.col("a") == F.col("c")).alias("same_with_change"))
 
 
 @both("""WITH e AS (SELECT n_regionkey AS s, n_nationkey + 100 AS t FROM nation), u AS (SELECT s AS node, t AS other FROM e UNION ALL SELECT t, s FROM e) SELECT node, count(DISTINCT other) AS degree FROM u GROUP BY node""")
@@ -203,21 +210,24 @@ def text_language(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("language", tx.language(F.col("arabic"), F.col("latin")))
 
 
-_SAMPLES = ("'[x] yes ☐ no'", "'12/05/2024'", "'Start date'", "'Serial number'", "'General notes'", "'1,250.5'")
-_MIXED = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(_SAMPLES)) + " ELSE text END"
-_WIDGET = r"""CASE WHEN trim(t) = '' THEN 'text' WHEN regexp_matches(trim(t), '^[\s□☐☑✓✗\[\]\(\)\-_]{1,5}$') OR regexp_matches(trim(t), '(^|\s)(□|☐|☑|✓|✗|\[\s*\]|\(\s*\))(\s|$)') THEN 'checkbox'
-WHEN regexp_matches(trim(t), '[0-9٠-٩]{1,4}[/\-.\\][0-9٠-٩]{1,2}[/\-.\\][0-9٠-٩]{2,4}') OR regexp_matches(trim(t), '([/\-.\\]\s*){2,}') THEN 'date' WHEN lower(t) LIKE '%date%' THEN 'date' WHEN lower(t) LIKE '%number%' THEN 'number' WHEN lower(t) LIKE '%notes%' THEN 'textarea'
-WHEN regexp_matches(trim(t), '^[0-9.,\s+\-%]{1,20}$') THEN 'number' WHEN contains(trim(t), chr(10)) OR length(trim(t)) > 120 THEN 'textarea' ELSE 'text' END"""
+# The white space of Spark's trim and of DuckDB's is the blank alone; the patterns say which else counts.
+_WIDGET = r"""CASE WHEN trim(t) = '' THEN 'text' WHEN regexp_matches(trim(t), '^[\s\x0b□☐☑✓✗\[\]\(\)\-_]{1,5}$') OR regexp_matches(trim(t), '(^|[\s\x0b])(□|☐|☑|✓|✗|\[[\s\x0b]*\]|\([\s\x0b]*\))([\s\x0b]|$)') THEN 'checkbox'
+WHEN regexp_matches(trim(t), '[0-9٠-٩]{1,4}[/\-.\\][0-9٠-٩]{1,2}[/\-.\\][0-9٠-٩]{2,4}') OR regexp_matches(trim(t), '([/\-.\\][\s\x0b]*){2,}') THEN 'date' WHEN contains(lower(t), 'تاريخ') OR contains(lower(t), 'date') THEN 'date' WHEN contains(lower(t), 'رقم') OR contains(lower(t), 'number') THEN 'number'
+WHEN contains(lower(t), 'ملاحظ') OR contains(lower(t), 'notes') OR contains(lower(t), 'تفاصيل') OR contains(lower(t), 'وصف') THEN 'textarea'
+WHEN regexp_matches(trim(t), '^[0-9٠-٩.,\s\x0b+\-%]{1,20}$') THEN 'number' WHEN contains(trim(t), chr(10)) OR length(trim(t)) > 120 THEN 'textarea' ELSE 'text' END"""
 
 
-@both(f"WITH d AS (SELECT doc_id, {_MIXED} AS t FROM documents) SELECT doc_id, {_WIDGET} AS widget FROM d")
+@both(f"WITH d AS (SELECT doc_id, 0 AS line, text AS t FROM documents UNION ALL SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) FROM documents) SELECT doc_id, cast(line AS integer) AS line, {_WIDGET} AS widget FROM d")
 def widget_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select("doc_id", tx.widget(F.expr(_MIXED)).alias("widget"))
+    """The class of each whole text (line 0) and of each of its lines."""
+    d = _t(spark, sf, "documents").select("doc_id", "text")
+    each = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return d.select("doc_id", F.lit(0).alias("line"), "text").unionByName(each).select("doc_id", "line", tx.widget(F.col("text")).alias("widget"))
 
 
-@both("SELECT doc_id, concat(rtrim(substr(ltrim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '_'), 1, 30), '_'), '_', substr(md5(substr(text, 1, 60)), 1, 4)) AS slug FROM documents")
+@both("SELECT doc_id, concat(rtrim(substr(ltrim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_'), 1, 30), '_'), '_', substr(md5(text), 1, 4)) AS slug FROM documents")
 def text_slugs(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select("doc_id", tx.slug(F.substring("text", 1, 60)).alias("slug"))
+    return _t(spark, sf, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 @both("SELECT doc_id, sha256(concat_ws('|', cast(doc_id AS varchar), lang, source)) AS stable_id, substr(md5(concat('doc:', cast(doc_id AS varchar))), 1, 8) AS uuid_head FROM documents")
@@ -252,9 +262,9 @@ def unique_keys(spark: SparkSession, sf: str) -> DataFrame:
     return render.unique_keys(items, ["l_orderkey"], "l_returnflag", "_o").select("l_orderkey", "l_linenumber", "l_partkey", "unique_key")
 
 
-@both("SELECT l_orderkey AS doc, string_agg(concat(l_returnflag, l_linenumber), ' | ' ORDER BY l_partkey * 1000000 + l_suppkey * 10 + l_linenumber) AS row_text FROM lineitem WHERE l_linenumber % 3 > 0 GROUP BY 1")
+@both("SELECT l_orderkey AS doc, string_agg(concat(l_returnflag, l_linenumber), ' | ' ORDER BY l_partkey * 1000000 + l_suppkey * 10 + l_linenumber, concat(l_returnflag, l_linenumber)) AS row_text FROM lineitem GROUP BY 1")
 def row_texts(spark: SparkSession, sf: str) -> DataFrame:
-    items = _t(spark, sf, "lineitem").where("l_linenumber % 3 > 0").withColumn("_o", F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber"))
+    items = _t(spark, sf, "lineitem").withColumn("_o", F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber"))
     cells = F.transform(F.array_sort(F.collect_list(F.struct("_o", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("t")))), lambda c: c["t"])
     return items.groupBy(F.col("l_orderkey").alias("doc")).agg(render.row_text(cells).alias("row_text"))
 
@@ -273,14 +283,6 @@ def row_layout(spark: SparkSession, sf: str) -> DataFrame:
     return render.row_layout(f).select("region_id", "place", "width")
 
 
-@spark_only
-def form_documents(spark: SparkSession, sf: str) -> DataFrame:
-    p = _t(spark, sf, "part")
-    kinds = F.array(*[F.lit(w) for w in ("text", "select", "date", "checkbox")])
-    f = p.select((F.col("p_partkey") % 20).alias("doc_id"), (F.col("p_partkey") % 3).alias("page"), (F.floor(F.col("p_partkey") / 40) % 5).alias("row"), F.col("p_partkey").alias("col"), F.col("p_name").alias("label"), kinds[(F.col("p_partkey") % 4).cast("int")].alias("widget"), F.when(F.col("p_partkey") % 8 == 1, F.array(F.lit("yes"), F.lit("no"))).alias("options"), (F.col("p_size") / 50).alias("confidence"))
-    return render.form_json(f)
-
-
 @both("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'checkbox' WHEN 1 THEN 'checkbox' ELSE 'text' END AS field_type, CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE event_type END AS value FROM events")
 def canonical_fields(spark: SparkSession, sf: str) -> DataFrame:
     v = F.when(F.col("event_id") % 4 == 0, " [X] ").when(F.col("event_id") % 4 == 1, "unchecked").otherwise(F.col("event_type"))
@@ -303,7 +305,7 @@ def _sql(name: str, text: str, *tables: str, spark_text: str | None = None) -> N
 
 _sql("pricing_summary", "SELECT l_returnflag, l_linestatus, count(*) AS n, cast(sum(cast(l_quantity AS bigint)) AS bigint) AS qty, round(sum(l_extendedprice), 2) AS price, round(avg(l_discount), 6) AS disc FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus", "lineitem")
 _sql("segment_revenue", "SELECT c_mktsegment, year(o_orderdate) AS y, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {customer} JOIN {orders} ON c_custkey = o_custkey GROUP BY c_mktsegment, year(o_orderdate)", "customer", "orders")
-_sql("customers_without_orders", "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)", "customer", "orders")
+_sql("customers_without_orders", "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')", "customer", "orders")
 _sql("customers_with_large_orders", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000)", "customer", "orders")
 _sql("full_join_counts", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS customers, coalesce(b.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} WHERE c_acctbal > 5000 GROUP BY c_nationkey) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM {supplier} GROUP BY s_nationkey) b ON a.k = b.k", "customer", "supplier")
 _sql("rollup_sales", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) + 2 * grouping(l_linestatus) AS level, count(*) AS n FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem")
@@ -345,9 +347,4 @@ s AS (SELECT q.q, v.vec_id, list_cosine_similarity(q.e, v.embedding) AS c FROM q
 def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """The five nearest vectors of each query vector, all rows against a stated query set."""
     v = _t(spark, sf, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    a, b = F.col("e"), F.col("embedding")
-    c = dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-    pairs = v.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(c, 5).alias("c"))
-    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("c").desc(), "vec_id"))).where("n <= 5").select("q", "vec_id")
+    return vectors.nearest(v, v.where("vec_id % 100 = 0"), 5).select("q", "vec_id")

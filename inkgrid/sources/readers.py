@@ -19,7 +19,7 @@ from ..functions.text import stable_id
 
 # File types by suffix, the least characters of a native text page,
 # confidences of texts without their own.
-ROUTES = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "xls": "xlsx", "doc": "text", "txt": "text", "md": "text", "png": "image", "jpg": "image", "jpeg": "image", "tiff": "image", "bmp": "image"}
+ROUTES = {"pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "xls": "xlsx", "doc": "doc", "txt": "text", "md": "text", "png": "image", "jpg": "image", "jpeg": "image", "tiff": "image", "bmp": "image"}
 NATIVE_CHARS = 20
 CONFIDENCE = {"ocr": 0.5, "raw_line": 0.85, "doc": 0.7}
 EVIDENCE = """ocr STRUCT<source_engine: STRING, engine_version: STRING, page_width: INT, page_height: INT, page_number: INT,
@@ -28,6 +28,11 @@ EVIDENCE = """ocr STRUCT<source_engine: STRING, engine_version: STRING, page_wid
   lines: ARRAY<STRUCT<bbox: ARRAY<DOUBLE>, orientation: STRING, confidence: DOUBLE>>, boxes: ARRAY<STRUCT<bbox: ARRAY<DOUBLE>, confidence: DOUBLE>>>"""
 
 
+def parse_evidence(df: DataFrame, body: str) -> DataFrame:
+    """Evidence documents from a column of JSON texts."""
+    return df.select(F.from_json(body, EVIDENCE).alias("_e")).select("_e.*").withColumn("page", F.coalesce("ocr.page_number", F.lit(0)).cast("long"))
+
+
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     """Evidence documents: one JSON object per line or file."""
     return spark.read.schema(EVIDENCE).option("multiLine", True).json(path).withColumn("page", F.coalesce("ocr.page_number", F.lit(0)).cast("long"))
@@ -60,19 +65,28 @@ def evidence_regions(evidence: DataFrame) -> DataFrame:
     return out.withColumn("region_key", F.sha2(F.concat(F.lit("region"), box_id), 256))
 
 
+_LAYOUT = "type STRING, bbox ARRAY<DOUBLE>, img_idx BIGINT, res ARRAY<STRUCT<text: STRING, confidence: DOUBLE, text_region: ARRAY<ARRAY<DOUBLE>>>>"
+
+
 def read_layout_lines(spark: SparkSession, path: str) -> DataFrame:
     """Layout JSON lines: a row per recognised text, or one per region without any."""
-    raw = spark.read.schema("type STRING, bbox ARRAY<DOUBLE>, img_idx BIGINT, res ARRAY<STRUCT<text: STRING, confidence: DOUBLE, text_region: ARRAY<ARRAY<DOUBLE>>>>").json(path)
+    return layout_lines(spark.read.schema(_LAYOUT).json(path))
+
+
+def parse_layout(df: DataFrame, body: str) -> DataFrame:
+    """The same from a column of JSON texts."""
+    return layout_lines(df.select(F.from_json(body, _LAYOUT).alias("_l")).select("_l.*"))
+
+
+def layout_lines(raw: DataFrame) -> DataFrame:
     out = raw.select("type", "img_idx", "bbox", F.posexplode_outer("res").alias("seq", "r"))
     corners = [c.alias(n) for c, n in zip(g.polygon_box(F.col("r.text_region")), ("x1", "y1", "x2", "y2"), strict=True)]
     return out.select("type", "img_idx", "bbox", "seq", F.col("r.text").alias("text"), F.col("r.confidence").alias("confidence"), *corners)
 
 
-def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """The files below a root with their route, department, device and form type from
-    the path. Folders named processed are left out. Contents are read only if used."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+def named_files(files: DataFrame) -> DataFrame:
+    """Files (path) with their route, department, device and form type from the path.
+    Folders named processed are left out. A file that no reader takes has an error."""
     parts = F.split("path", "/")
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     route = F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv])[ext]
@@ -80,11 +94,24 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     return named.withColumns({"route": route, "form_type": F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", ""), "device": F.element_at(parts, -2), "department": F.element_at(parts, -3), "error": F.when(route.isNull(), F.concat(F.lit("no reader for "), ext))})
 
 
+def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """The files below a root, named by named_files. Contents are read only if used."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return named_files((reader.option("pathGlobFilter", glob) if glob else reader).load(root))
+
+
 def object_key(name: Column, at: Column, unique: Column) -> Column:
     """The key of an upload: by date, with a unique part and a safe name."""
     return F.concat(F.lit("uploads/"), F.date_format(at, "yyyy/MM/dd"), F.lit("/"), unique, F.lit("_"), F.regexp_replace(name, r"[^\p{L}\p{N}._-]", "_"))
 
 
+def stored_objects(files: DataFrame, name: str, at: str, unique: str, content: str) -> DataFrame:
+    """What the object store keeps of uploads: key, checksum, size and content. The rows are
+    written to any table or store, under the key."""
+    body = F.col(content).cast("binary")
+    return files.withColumns({"object_key": object_key(F.col(name), F.col(at), F.col(unique)), "checksum": F.sha2(body, 256), "n_bytes": F.octet_length(body)})
+
+
 _BLOCKS = "path string, block int, block_type string, title string, row int, cell int, text string, confidence double, error string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -113,6 +140,14 @@ def _docx(data: bytes) -> Iterator[tuple]:
             row += 1
 
 
+def _column(reference: str) -> int:
+    """The column of a cell reference: of C7, 2."""
+    out = 0
+    for x in re.match("[A-Za-z]*", reference)[0].upper():
+        out = 26 * out + ord(x) - 64
+    return out - 1
+
+
 def _xlsx(data: bytes) -> Iterator[tuple]:
     """A block per sheet with its rows that are not empty."""
     book = zipfile.ZipFile(BytesIO(data))
@@ -124,10 +159,12 @@ def _xlsx(data: bytes) -> Iterator[tuple]:
     for block, sheet in enumerate(sheets):
         row = 0
         for tr in ElementTree.fromstring(book.read(sheet)).iter(f"{_X}row"):
-            cells = []
+            cells: list[str | None] = []
             for c in tr.iter(f"{_X}c"):
                 v = c.find(f"{_X}v")
                 inline = "".join(t.text or "" for t in c.iter(f"{_X}t"))
+                at = _column(c.get("r")) if c.get("r") else len(cells)  # cells without contents may be left out
+                cells += [None] * (at - len(cells))
                 cells.append(shared[int(v.text)] if c.get("t") == "s" and v is not None else v.text if v is not None else inline)
             if any(x and x.strip() for x in cells):
                 for k, x in enumerate(cells):
@@ -140,10 +177,22 @@ def _text(data: bytes) -> Iterator[tuple]:
         yield 0, "mixed", None, row, 0, line.strip()
 
 
-def read_office(files: DataFrame) -> DataFrame:
+def with_headers(cells: DataFrame) -> DataFrame:
+    """Marks the header cells: the first row of each table."""
+    return cells.withColumn("is_header", F.coalesce((F.col("block_type") == "table") & (F.col("row") == 0), F.lit(False)))
+
+
+def read_office(files: DataFrame, doc: Callable[[bytes], str] | None = None) -> DataFrame:
     """Cells of docx, xlsx and text files: (block, row, cell); a file that fails gives
-    one row with its error. Other routes are left to page scanners."""
-    parsers = {"docx": _docx, "xlsx": _xlsx, "text": _text}
+    one row with its error. Other routes are left to page scanners. Binary .doc files need
+    `doc`, a function from contents to text; without it they are errors."""
+
+    def old(data: bytes) -> Iterator[tuple]:
+        if doc is None:
+            raise ValueError("no reader for binary .doc files is given")
+        return _text(doc(data).encode())
+
+    parsers = {"docx": _docx, "xlsx": _xlsx, "text": _text, "doc": old}
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -151,7 +200,7 @@ def read_office(files: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for path, route, content in zip(b["path"], b["route"], b["content"], strict=True):
-                conf = CONFIDENCE["doc"] if route == "text" else 1.0
+                conf = CONFIDENCE["doc"] if route in ("text", "doc") else 1.0
                 try:
                     out += [(path, *cell, conf, None) for cell in parsers[route](bytes(content))]
                 except Exception as e:  # one bad file is one row
@@ -185,6 +234,29 @@ def scan_pages(files: DataFrame, scanner: Callable[[bytes], Iterator[dict]]) ->
     return files.select("path", "content").mapInPandas(run, _TOKENS)
 
 
+def native_words(words: DataFrame, on: tuple[str, ...] = ("path", "page")) -> DataFrame:
+    """Words of a page's own text, from points to pixels by the scale of each axis (pt_w, pt_h
+    to page_w, page_h), clamped to the page, without empty texts and degenerate boxes. Pages
+    of under NATIVE_CHARS characters have none."""
+    enough = words.groupBy(*on).agg(F.sum(F.length(F.trim("text"))).alias("_n")).where(F.col("_n") >= NATIVE_CHARS).select(*on)
+    scale = {"x": F.col("page_w") / F.col("pt_w"), "y": F.col("page_h") / F.col("pt_h")}
+    moved = words.withColumns({c: F.col(c) * scale[c[0]] for c in ("x1", "y1", "x2", "y2")})
+    return clean_tokens(moved.join(enough, list(on), "left_semi").withColumns({"confidence": F.lit(1.0), "source": F.lit("native"), "error": F.lit(None).cast("string")}))
+
+
+def recognised_words(found: DataFrame) -> DataFrame:
+    """Tokens of texts recognised in an image, whose outlines are polygons of [x, y]."""
+    corners = dict(zip(("x1", "y1", "x2", "y2"), g.polygon_box(F.col("polygon")), strict=True))
+    return clean_tokens(found.withColumns({**corners, "source": F.lit("ocr"), "error": F.lit(None).cast("string")}).drop("polygon"))
+
+
+def raw_lines(pages: DataFrame, tokens: DataFrame, on: tuple[str, ...] = ("path", "page")) -> DataFrame:
+    """The fallback for pages without tokens: each line of their raw text is a row of one cell."""
+    bare = pages.join(tokens.select(*on).distinct(), list(on), "left_anti")
+    lines = bare.select(*on, F.posexplode(F.filter(F.split("raw_text", "\n"), lambda x: F.trim(x) != "")).alias("row", "text"))
+    return lines.withColumns({"text": F.trim("text"), "col": F.lit(0), "block_type": F.lit("mixed"), "confidence": F.lit(CONFIDENCE["raw_line"])})
+
+
 def clean_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens clamped to their page, without empty texts and degenerate boxes."""
     inside = g.clamped(g.box(), F.col("page_w"), F.col("page_h"))

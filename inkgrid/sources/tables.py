@@ -30,10 +30,17 @@ def current(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
     return latest_wins(spark.table(table), keys, ["version"])
 
 
+def lookup(rows: DataFrame, keys: list[str], wanted: dict[str, object], schema: str | None = None) -> DataFrame:
+    """The newest rows of given keys in a table of versions; JSON bodies parsed if a schema is given."""
+    for k, v in wanted.items():
+        rows = rows.where(F.col(k) == v)
+    newest = latest_wins(rows, keys, ["version"])
+    return newest.withColumn("data", F.from_json("data", schema)) if schema else newest
+
+
 def get(spark: SparkSession, table: str, key: str, value: str, schema: str | None = None) -> DataFrame:
     """The current row of a key; its JSON body parsed if a schema is given."""
-    rows = latest_wins(spark.table(table).where(F.col(key) == value), [key], ["version"])
-    return rows.withColumn("data", F.from_json("data", schema)) if schema else rows
+    return lookup(spark.table(table), [key], {key: value}, schema)
 
 
 def list_documents(spark: SparkSession, table: str, qa_status: str | None = None, most: int = 200) -> DataFrame:
@@ -42,8 +49,12 @@ def list_documents(spark: SparkSession, table: str, qa_status: str | None = None
     return rows.orderBy(F.col("processed_at").desc(), "document_id").limit(most)
 
 
-def write_structure(structure: DataFrame, path: str) -> None:
+def structure_json(structure: DataFrame) -> DataFrame:
     """One JSON object per department: device to its form types and sources."""
     entry = F.struct("device", F.struct("form_types", "sources"))
     nested = structure.groupBy("department").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("devices"))
-    nested.select(F.to_json(F.struct("department", "devices")).alias("value")).write.mode("overwrite").text(path)
+    return nested.select(F.to_json(F.struct("department", "devices")).alias("value"))
+
+
+def write_structure(structure: DataFrame, path: str) -> None:
+    structure_json(structure).write.mode("overwrite").text(path)

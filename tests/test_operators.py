@@ -192,10 +192,13 @@ def test_rendered_forms(spark):
     assert '"type":"checkbox"' in form and '"title":"Main Content"' in form
     grid = spark.createDataFrame([(0, 0, 0, "a", 1.0), (0, 0, 1, "b", 1.0), (0, 1, 0, "", 0.0), (0, 1, 1, "", 0.0)], "page long, row int, col int, text string, confidence double")
     assert [(r.row, r.is_header) for r in render.table_rows(grid).collect()] == [(0, True)]
-    docs = spark.sql("SELECT 'd' AS doc_id, array(named_struct('criteria', array(named_struct('key', 'k', 'label', 'L', 'semantic_type', 'pass_fail', 'is_fatal', true), named_struct('key', 'i', 'label', 'I', 'semantic_type', 'kpi_indicator', 'is_fatal', false)))) AS sections")
-    assert [(r.key, r.component, r.options) for r in render.flat_criteria(docs).collect()] == [("k", "radio", ["pass", "fail"])]
+    field = "named_struct('key', '{k}', 'label', '{l}', 'field_type', '{t}', 'is_fatal', true, 'required', true, 'options', cast(null AS array<struct<value:string,label:string>>))"
+    docs = spark.sql(f"SELECT 'd' AS doc_id, array(named_struct('id', 's', 'label', 'S', 'fields', array({field.format(k='k', l='L', t='pass_fail')}, {field.format(k='i', l='I', t='kpi_indicator')}))) AS sections")
+    assert [(r.key, r.is_fatal) for r in render.flat_criteria(docs).collect()] == [("k", True)]
+    shown = render.canonical_components(docs).collect()
+    assert [(r.type, r.css, [v.value for v in r.values or []]) for r in shown] == [("radio", "fatal-field", ["pass", "fail"]), ("htmlelement", "kpi-indicator", [])]
 
 
 def test_priors(spark):
-    r = spark.range(1).select(analytics.PRIORS["radio"](F.lit(0.9)).alias("a"), analytics.PRIORS["signature"](F.lit(0.3)).alias("b")).first()
+    r = spark.range(1).select(analytics.PRIORS["alignment"](F.lit(0.9)).alias("a"), analytics.PRIORS["fill"](F.lit(0.3)).alias("b")).first()
     assert (r.a, r.b) == (0.95, 0.5)
