@@ -10,10 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, pieces_of
+from .common import Workspace, partitions
 from .components import UnionFind, components
 from .setcheck import common_items, common_matrix
-from .words import _GOLD, mix, shingles, word_hashes
+from .sketch import KeyFilter
+from .words import _GOLD, column_words, mix, pieces_by_bytes, text_shingles
 
 #: Classes of a family on one side of a block.
 BLOCK = 256
@@ -76,33 +77,45 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
+def _text_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, in order."""
+    items, sizes = text_shingles(column_words(column), k)
+    ends = np.cumsum(sizes)
+    return [np.unique(items[z - n : z]) for z, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
 def _sketches(docs: DataFrame, k: int, m: int, rows: int) -> DataFrame:
     """doc_id, set size, 128-bit digest of the set and band keys; null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p for batch in batches for p in pieces_of(batch)):
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            at = 0
-            while at < len(keys):
-                sets, size = [], 0
-                while at + len(sets) < len(keys) and size < 100_000:
-                    sets.append(np.unique(shingles(word_hashes(texts[at + len(sets)]), k)))
-                    size += len(sets[-1])
-                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                bands = band_keys(super_minhash(np.concatenate(sets), owner, len(sets), m), rows)
-                out = [(d, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, w.tolist() if len(s) else None) for d, s, w in zip(keys[at : at + len(sets)], sets, bands, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SKETCH.types, strict=True)], schema=_SKETCH)
-                at += len(sets)
+        for batch in batches:
+            for b in pieces_by_bytes(batch, 1, 1 << 19):
+                sets = _text_sets(b.column(1), k)
+                sizes = np.array([len(s) for s in sets])
+                bands = band_keys(super_minhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets), m), rows)
+                ids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands.shape[1], pa.int32()), pa.array(bands.ravel()), mask=pa.array(sizes == 0))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int64)), ids, lists], schema=_SKETCH)
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
+def _sets(rows: DataFrame, asked: DataFrame, k: int, space: Workspace) -> DataFrame:
+    """(cls, items) of the asked classes. Only texts whose ids pass a filter of the asked
+    ones are shuffled to meet them."""
+    asked = space.write(asked, "asked")
+    known = rows.sparkSession.sparkContext.broadcast(KeyFilter(asked, asked.count()))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(known.value(b.column(0).to_numpy())))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p for batch in batches for p in pieces_of(batch, 100)):
-            got = [np.unique(shingles(word_hashes(t), k)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["cls", "items"])
+        for batch in batches:
+            for b in pieces_by_bytes(batch, 1):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in _text_sets(b.column(1), k)], pa.binary())], names=["cls", "items"])
 
+    texts = rows.where("doc_id is not null").mapInArrow(some, "doc_id long, text string").join(asked, "doc_id", "left_semi")
     return texts.mapInArrow(run, "cls long, items binary")
 
 
@@ -204,7 +217,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     many = space.write(banded.join(found.where("n > 2").select("band", "u"), "band").select("band", "u", F.col("cls").alias("v")), "many")
     pairs = space.write(found.where("n = 2").select("u", F.col("last").alias("v")).union(many.where("u <> v").select("u", "v")).distinct(), "pairs")
     involved = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = space.write(_sets(rows_in.join(involved, "doc_id").select(F.col("doc_id").alias("cls"), "text"), shingle), "sets")
+    sets = space.write(_sets(rows_in, involved, shingle, space), "sets")
     checked = space.write(common_items(pairs, sets), "checked")
     linked = f"100 * common >= {int(percent)} * total"
     links = checked.where(linked).select("u", "v")

@@ -9,49 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
-
-#: Members that are checked against one copy of their leader's set.
-CHUNK = 64
 _CHECKED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("common", pa.int64()), ("total", pa.int64())])
 
 
 def common_items(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, common, total) of pairs (u, v) of classes, on full sets.
+    """(u, v, common, total) of pairs (u, v) of classes, on full sets (cls, items: sorted).
 
-    A leader u with very many members v gets a copy of its set for each CHUNK of
-    them; a task reads a leader's set and then streams its members' sets."""
-    count = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("n"))
-    dealt = pairs.join(count, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("n")).alias("chunk"))
-    leaders = dealt.select("u", "chunk").distinct().select(F.col("u").alias("cls"), "u", "chunk", F.lit(0).alias("kind"))
-    asked = leaders.union(dealt.select(F.col("v").alias("cls"), "u", "chunk", F.lit(1).alias("kind")))
-    rows = sets.join(asked, "cls").select("u", "chunk", "kind", "cls", "items")
+    The sets of v are sent to the place of u's; the sets by class are shuffled once for both
+    sides. Both are plain equi-joins, so a u of very many pairs is split by Spark."""
+    members = pairs.join(sets.select(F.col("cls").alias("v"), F.col("items").alias("own")), "v")
+    both = members.join(sets.select(F.col("cls").alias("u"), F.col("items").alias("lead")), "u").select("u", "v", "own", "lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leaders = None, []
         for b in batches:
-            out = []
-            columns = (b.column(c).to_pylist() for c in ("u", "chunk", "kind", "cls"))
-            for u, chunk, kind, v, items in zip(*columns, (x.as_buffer() for x in b.column("items")), strict=True):
-                own = np.frombuffer(items, np.uint64)
-                if (u, chunk) != group:
-                    group, leaders = (u, chunk), []
-                if kind == 0:
-                    leaders.append(own)
-                    continue
-                for leader in leaders:  # more than one only if rows share a doc_id
-                    small, large = (own, leader) if len(own) < len(leader) else (leader, own)
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    common = int((large[at] == small).sum())
-                    out.append((u, v, common, len(own) + len(leader) - common))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CHECKED.types, strict=True)], schema=_CHECKED)
-
-    dealt_out = rows.repartition(partitions(pairs.sparkSession), "u", "chunk").sortWithinPartitions("u", "chunk", "kind")
-    return dealt_out.mapInArrow(run, "u long, v long, common long, total long")
-
-
+            common, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                small, large = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if len(small) > len(large):
+                    small, large = large, small
+                at = large.searchsorted(small)
+                at[at == len(large)] = 0
+                common[i] = n = np.count_nonzero(large[at] == small)
+                total[i] = len(small) + len(large) - n
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(common), pa.array(total)], schema=_CHECKED)
+
+    return both.mapInArrow(run, "u long, v long, common long, total long")
 
 
 def common_matrix(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
