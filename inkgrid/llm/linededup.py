@@ -10,79 +10,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, pieces_of
+from .common import Workspace, partitions
 from .components import components
 from .setcheck import common_items, common_matrix
-from .words import _GOLD, _hashes, mix, slices, word_hashes
+from .sketch import KeyFilter, bits_for, slot_levels, slot_of
+from .words import _GOLD, Words, column_words, mix, pieces_by_bytes, raw_texts, words_of
 
-#: Counters of the token counts, and counters in a block of them.
-SLOTS, BLOCK = 1 << 22, 1 << 16
+#: Classes that a prefix token may have to be compared with each other at once; keys of more are hot.
+GROUP = 512
+#: Postings that are compared at once.
+ROWS = 1 << 16
 #: Classes of a family on one side of a comparison.
 SIDE = 256
+#: Bytes of text for a slot of the token table.
+SLOT_BYTES = 32
 
 
-#: Stands for a line end among the words; no UTF-8 text has this byte.
-_END = b"\xff"
-
-
-def _line_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of a text in order, and the number of words of each line."""
-    hashes = []
-    for part in slices((text or "").encode("utf-8", "surrogatepass").lower().replace(b"\n", b" \xff ")):
-        words = part.split()
-        hashes.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
-    h = hashes[0] if len(hashes) == 1 else np.concatenate(hashes)
-    ends = np.flatnonzero(h == np.uint64(_hashes[_END]))
-    sizes = np.diff(np.concatenate([[-1], ends, [len(h)]])) - 1
-    return np.delete(h, ends) if len(ends) else h, sizes
-
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
-def token_counts(texts: DataFrame) -> np.ndarray:
-    """How often the tokens of each of SLOTS slots occur in all texts, up to 65535.
-
-    The size is fixed, whatever the corpus. A slot's count is at least that of
-    each of its tokens; so with a count of 1 the token is nowhere else. Tasks
-    count whole tables of slots and send them as compressed blocks, which are
-    summed block by block as they stream in."""
-    import zstandard
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.uint32)
-        for b in (p for whole in batches for p in pieces_of(whole, 2000)):
-            waiting, size = [], 0
-            for text in b.column(0).to_pylist():
-                waiting.append(word_hashes(text))
-                size += len(waiting[-1])
-                if size > 1_000_000:
-                    np.add.at(total, _slot(np.concatenate(waiting)), np.uint32(1))
-                    waiting, size = [], 0
-            if waiting:
-                np.add.at(total, _slot(np.concatenate(waiting)), np.uint32(1))
-        pack = zstandard.ZstdCompressor(level=1).compress
-        blocks = [pack(total[k : k + BLOCK].tobytes()) for k in range(0, SLOTS, BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, np.zeros(BLOCK, np.uint64)) + np.frombuffer(unpack(c), np.uint32)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        out = [pack(np.minimum(v, 65535).astype(np.uint16).tobytes()) for v in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], names=["block", "counts"])
+def token_levels(texts: DataFrame) -> np.ndarray:
+    """How often the tokens of each slot occur in all texts, as sketch.level_of.
+
+    The number of slots follows the size of the input, up to 64 MB of them. A slot's
+    level is at least that of each of its tokens; so with a level of 1 the token is nowhere else."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    bits = bits_for(size / SLOT_BYTES if size < 1 << 60 else 1 << 22)  # beyond: Spark doesn't know it
+
+    def slots(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for b in pieces_by_bytes(batch, 0):
+            yield slot_of(column_words(b.column(0)).hashes, bits)
 
-    schema = "block int, counts binary"
-    parts = texts.mapInArrow(count, schema).repartition(min(SLOTS // BLOCK, partitions(texts.sparkSession)), "block").mapInArrow(add, schema)
-    out = np.zeros(SLOTS, np.uint16)
-    unpack = zstandard.ZstdDecompressor().decompress
-    for k, c in parts.collect():  # SLOTS / BLOCK rows
-        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(unpack(bytes(c)), np.uint16)
-    return out
+    return slot_levels(texts, slots, bits)
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -96,19 +52,31 @@ PLACE = ("doc_id", "row_key", "line_no")
 _LINES_SQL = "doc_id long, row_key long, line_no int, n_tokens int, s0 long, s1 long, parity long, skip int, prefix array<int>"
 
 
-def _stable_order(small: np.ndarray, most: int) -> np.ndarray:
-    """A stable sort order of small numbers; by radix if they fit 16 bits."""
-    return np.argsort(small.astype(np.uint16) if most < 65536 else small, kind="stable")
-
-
-def _distinct_by_line(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in order of (line, token), each once."""
-    order = np.argsort(h)
-    order = order[_stable_order(line[order], int(line[-1]) if len(line) else 0)]
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    return h[new], line[new]
+def _lines_of(raw: np.ndarray, at: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word its line, counted over all texts; and of each text its first line and number of lines."""
+    ends = np.flatnonzero(raw == 10)
+    before = np.searchsorted(ends, at)  # line ends before each text
+    texts = np.arange(len(at) - 1)
+    line = np.searchsorted(ends, w.begins) + np.repeat(texts, np.diff(w.firsts))
+    return line, before[:-1] + texts, np.diff(before) + 1
+
+
+def _by_rarity(h: np.ndarray, line: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The order by (line, level, token) without repeats of a token in a line. One sort
+    over the top bits of all three; if two tokens have those in common, over all of them."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    line = line - line[0]
+    bits = max(int(line[-1]).bit_length(), 1)
+    sure = 56 - bits
+    key = line.astype(np.uint64) << np.uint64(64 - bits) | level.astype(np.uint64) << np.uint64(sure) | h >> np.uint64(64 - sure)
+    order = np.argsort(key)
+    key, own = key[order], h[order]
+    same = key[1:] == key[:-1]
+    if (own[1:][same] != own[:-1][same]).any():
+        order = np.lexsort((h, level, line))
+        same = (h[order][1:] == h[order][:-1]) & (line[order][1:] == line[order][:-1])
+    return order[np.concatenate([[True], ~same])]
 
 
 def row_key(text: Column) -> Column:
@@ -116,85 +84,215 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def line_sets(texts: DataFrame, counts: np.ndarray, percent: int, least: int) -> DataFrame:
+def line_sets(texts: DataFrame, levels: np.ndarray, percent: int, least: int) -> DataFrame:
     """A row for each line of at least `least` distinct tokens: its place, set size,
     a 128-bit digest (s0, s1) and a 64-bit parity map of the set, and its prefix: the
     rarest tokens, of which any linked set has one, by 32 bits of their hashes. The
-    first `skip` of them are left out, as they occur nowhere else."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(counts)  # SLOTS numbers of 2 bytes
+    first `skip` of them are left out, as they occur nowhere else; sets too small to be
+    linked with another set have none."""
+    shared = texts.sparkSession.sparkContext.broadcast(levels)  # 64 MB at most
+    bits = len(levels).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (p for whole in batches for p in pieces_of(whole)):
-            keys, rows = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)), b.column(1).to_pylist()
-            at = 0
-            while at < len(keys):
-                first, parts, sizes, owners, numbers, size = at, [], [], [], [], 0
-                while at < len(keys) and at - first < 512 and size < 300_000:
-                    h, n = _line_words(rows[at])
-                    parts.append(h)
-                    sizes.append(n)
-                    owners.append(np.full(len(n), at))
-                    numbers.append(np.arange(len(n)))
-                    size += len(h)
-                    at += 1
-                yield batch(keys, np.concatenate(parts), *(np.concatenate(x) for x in (sizes, owners, numbers)))
-
-    def batch(keys: list, h: np.ndarray, sizes: np.ndarray, owners: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
-        h, line = _distinct_by_line(h, np.repeat(np.arange(len(sizes)), sizes))
-        n = np.bincount(line, minlength=len(sizes))
+        for batch in batches:
+            for b in pieces_by_bytes(batch, 1, 1 << 18):
+                yield sets_of(b)
+
+    def sets_of(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw, at = raw_texts(b.column(1))
+        w = words_of(raw, at)
+        line, first, n_lines = _lines_of(raw, at, w)
+        level = shared.value[slot_of(w.hashes, bits)]
+        order = _by_rarity(w.hashes, line, level)
+        h, line, level = w.hashes[order], line[order], level[order]
+        n = np.bincount(line, minlength=int(n_lines.sum()))
         on = n[line] >= least
-        h, line = h[on], line[on]
-        lines = np.flatnonzero(n >= least)
+        h, line, level = h[on], line[on], level[on]
+        lines = np.flatnonzero(n >= max(least, 1))
         if not len(lines):
             return pa.RecordBatch.from_pylist([], schema=_LINES)
+        owner = np.searchsorted(first, lines, "right") - 1
         n = n[lines]
-        ends = np.cumsum(n)
-        begins = ends - n
+        begins = np.cumsum(n) - n
         s0, s1 = np.add.reduceat(mix(h + _GOLD), begins), np.add.reduceat(mix(mix(h) ^ _GOLD), begins)
         parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), begins)
-        level = shared.value[_slot(h)]
-        row = np.repeat(np.arange(len(lines)), n)
-        order = _stable_order(level, 65535)  # by line, then level, then token as before
-        order = order[_stable_order(row[order], len(lines))]
-        h, level = h[order], level[order]
         place = np.arange(len(h)) - np.repeat(begins, n)
-        taken = (place < np.repeat(n - needed(n, percent) + 1, n)) & (level > 1)
+        length = np.where(100 * n >= percent * (n + 1), n - needed(n, percent) + 1, 0)
+        taken = (place < np.repeat(length, n)) & (level > 1)
         skip = np.add.reduceat((level <= 1).astype(np.int32), begins).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.add.reduceat(taken.astype(np.int32), begins))]), pa.int32()), pa.array((h[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-        own = [[keys[i][k] for i in owners[lines]] for k in range(2)]
-        rest = [numbers[lines].astype(np.int32), n.astype(np.int32), s0.view(np.int64), s1.view(np.int64), parity.view(np.int64), skip]
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in own), *map(pa.array, rest), lists], schema=_LINES)
+        ends = np.cumsum(np.add.reduceat(taken.astype(np.int32), begins))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array((h[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+        own = [b.column(c).take(pa.array(owner)) for c in (0, 2)]
+        rest = [(lines - first[owner]).astype(np.int32), n.astype(np.int32), s0.view(np.int64), s1.view(np.int64), parity.view(np.int64), skip]
+        return pa.RecordBatch.from_arrays([*own, *map(pa.array, rest), lists], schema=_LINES)
 
     return texts.mapInArrow(run, _LINES_SQL)
 
 
-def _class_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(cls, items): the token sets of asked classes, from their first lines."""
-    wanted = asked.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("line_no", "cls")).alias("lines"))
+def _place_hash(doc_id: np.ndarray, row_key: np.ndarray, line_no: np.ndarray) -> np.ndarray:
+    return mix(mix(doc_id.view(np.uint64) + _GOLD) + row_key.view(np.uint64)) + line_no.astype(np.uint64)
+
+
+def _class_sets(docs: DataFrame, asked: DataFrame, space: Workspace) -> DataFrame:
+    """(cls, items): the token sets of asked classes (cls, s0 and the place of the first
+    line). Texts are read where they are: lines whose places pass a filter of the asked
+    ones give their sets, which then meet the places; so no text is shuffled."""
+    doc = F.coalesce("doc_id", F.lit(0))  # rows without doc_id have row_key
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = _place_hash(*(b.column(c).to_numpy() for c in range(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    keys = space.write(asked.select(doc.alias("doc_id"), "row_key", "line_no").mapInArrow(hashes, "h long"), "asked")
+    known = docs.sparkSession.sparkContext.broadcast(KeyFilter(keys, keys.count()))
+    space.drop("asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces_by_bytes(batch, 1):
+                yield sets_of(b)
+
+    def sets_of(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw, at = raw_texts(b.column(1))
+        ends = np.flatnonzero(raw == 10)
+        before = np.searchsorted(ends, at)
+        n_lines = np.diff(before) + 1
+        own = np.repeat(np.arange(len(n_lines)), n_lines)
+        begins, stops = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        first = np.cumsum(n_lines) - n_lines
+        inner = np.ones(len(own), bool)
+        inner[first] = False
+        begins[inner], begins[first] = ends + 1, at[:-1]
+        inner[:] = True
+        inner[first + n_lines - 1] = False
+        stops[inner], stops[first + n_lines - 1] = ends, at[1:]
+        number = np.arange(len(own)) - first[own]
+        doc_id, key = (b.column(c).to_numpy() for c in (0, 2))
+        where = _place_hash(doc_id[own], key[own], number)
+        on = np.flatnonzero(known.value(where))
+        on = on[np.unique(where[on], return_index=True)[1]]
+        sizes = stops[on] - begins[on]
+        places = np.concatenate([[0], np.cumsum(sizes)])
+        part = raw[np.repeat(begins[on] - places[:-1], sizes) + np.arange(places[-1])] if len(on) else raw[:0]
+        w = words_of(part, places)
+        sets = [np.unique(w.hashes[i:k]) for i, k in zip(w.firsts[:-1].tolist(), w.firsts[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc_id[own[on]]), pa.array(key[own[on]]), pa.array(number[on].astype(np.int32)), pa.array([x.tobytes() for x in sets], pa.binary())],
+            names=["doc_id", "row_key", "line_no", "items"],
+        )
+
+    found = docs.select(doc.alias("doc_id"), "text", "row_key").mapInArrow(run, "doc_id long, row_key long, line_no int, items binary")
+    wanted = asked.select(doc.alias("doc_id"), "row_key", "line_no", "cls")
+    # Rows equal in doc_id and text are one row; the join has put their lines together.
+    place = ["doc_id", "row_key", "line_no"]
+    return found.join(wanted, place).dropDuplicates([*place, "cls"]).select("cls", "items")
+
+
+def _cold_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Of postings (key, cls, np, parity): candidates (u, v) of keys of at most GROUP
+    classes; and the postings of hot keys as they are, with u null. np holds the set
+    size and the place of the token, in 32 bits each.
+
+    A set is found by its shorter prefix from the longer prefix of sets no smaller. The
+    length filter, the positional filter and the parity maps (which bound the difference
+    of two sets from below) follow. Groups of a key are compared by shifts of whole arrays."""
+
+    def pairs(key: np.ndarray, cls: np.ndarray, np_: np.ndarray, parity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, at, parity = np_ >> 32, np_ & 0xFFFFFFFF, parity.view(np.uint64)
+        us, vs = [], []
+        # By (key, size, place): a row meets the later ones of its key, until they are too large for it.
+        i = np.flatnonzero(at < n - (2 * percent * n + 99 + percent) // (100 + percent) + 1)
+        k = 1
+        while len(i := i[: np.searchsorted(i, len(key) - k)]):
+            j = i + k
+            on = (key[i] == key[j]) & (n[i] * 100 >= n[j] * percent)
+            i, j = i[on], j[on]
+            common = (percent * (n[i] + n[j]) + 99 + percent) // (100 + percent)
+            ok = (np.minimum(n[i] - at[i], n[j] - at[j]) >= common) & (np.bitwise_count(parity[i] ^ parity[j]) <= n[i] + n[j] - 2 * common) & (cls[i] != cls[j])
+            us.append(cls[i[ok]])
+            vs.append(cls[j[ok]])
+            k += 1
+        u, v = (np.concatenate(us), np.concatenate(vs)) if us else (cls[:0], cls[:0])
+        return np.minimum(u, v), np.maximum(u, v)
+
+    def send(u: np.ndarray, v: np.ndarray, hot: list[np.ndarray]) -> pa.RecordBatch:
+        n, m = len(u), len(hot[0])
+        both = [pa.array(np.concatenate([u, hot[1]])), pa.array(np.concatenate([v, hot[1]]))]
+        rest = [pa.array(np.concatenate([np.zeros(n, x.dtype), x])) for x in (hot[0], *hot[2:])]
+        return pa.RecordBatch.from_arrays([*both, *rest, pa.array(np.arange(n + m) >= n)], names=_MET.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, hot_key = [], 0, None
         for b in batches:
-            for text, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = (text or "").split("\n")
-                lines = [x for x in lines if x["line_no"] < len(own)]
-                items = [np.unique(word_hashes(own[x["line_no"]])) for x in lines]
-                yield pa.RecordBatch.from_arrays([pa.array([x["cls"] for x in lines], pa.int64()), pa.array([i.tobytes() for i in items], pa.binary()), pa.array([mix(i + _GOLD).sum().astype(np.uint64).view(np.int64) for i in items], pa.int64())], names=["cls", "items", "s0"])
-
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["row_key"] == wanted["row_key"])).select("text", "lines")
-    return rows.mapInArrow(run, "cls long, items binary, s0 long")
-
-
-def _families(classes: DataFrame, space: Workspace) -> DataFrame:
-    """(cls, fam): groups of classes that look alike, by the least hashes of their
-    prefixes and half of the shorter prefix in common. They only say how pairs are
-    compared: those within a family in blocks, all others by the join."""
-    own = classes.where(F.size("prefix") > 0).select("cls", "prefix", F.col("n_tokens").alias("n"))
-    least = F.array(*[F.array_min(F.transform("prefix", lambda t, seed=seed: F.xxhash64(F.lit(seed), t))) for seed in range(3)])
-    keyed = own.select("cls", F.posexplode(least).alias("seed", "h")).select("cls", F.xxhash64("seed", "h").alias("key"))
-    leads = keyed.groupBy("key").agg(F.min("cls").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keyed.join(leads.select("key", "u"), "key").where("u <> cls").select("u", F.col("cls").alias("v")).distinct()
-    side = lambda c, p: own.select(F.col("cls").alias(c), F.col("prefix").alias(p))
+            if b.num_rows:
+                parts.append([c.to_numpy() for c in b.columns])
+                size += b.num_rows
+            if size >= ROWS:
+                out, held, hot_key = split([np.concatenate(x) for x in zip(*parts, strict=True)], hot_key)
+                parts, size = [held] if held else [], 0
+                if out is not None:
+                    yield out
+        if parts:
+            yield split([np.concatenate(x) for x in zip(*parts, strict=True)], hot_key, True)[0]
+
+    def split(rows: list[np.ndarray], hot_key: int | None, last: bool = False) -> tuple[pa.RecordBatch | None, list[np.ndarray] | None, int | None]:
+        """What is settled, the rows of the last key if they may go on, and that key if it is hot already."""
+        key = rows[0]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(edge, len(key)))
+        hot = size > GROUP
+        hot[0] |= hot_key is not None and key[0] == hot_key
+        hold = not last and not hot[-1]
+        done = edge[-1] if hold else len(key)
+        is_hot = np.repeat(hot, size)[:done]
+        on = [x[:done][~is_hot] for x in rows]
+        out = send(*pairs(*on), [x[:done][is_hot] for x in rows]) if done else None
+        return out, [x[done:] for x in rows] if hold else None, int(key[-1]) if hot[-1] else None
+
+    rows = postings.repartition(partitions(postings.sparkSession), "key").sortWithinPartitions("key", "np")
+    return rows.select("key", "cls", "np", "parity").mapInArrow(run, "u long, v long, key int, np long, parity long, hot boolean")
+
+
+_MET = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int32()), ("np", pa.int64()), ("parity", pa.int64()), ("hot", pa.bool_())])
+
+
+def _hot_pairs(hot: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Candidates (u, v) of hot keys, of different families, by a join of the shorter
+    with the longer prefixes. Keys hold the token and the size in steps of
+    100 / percent, so that only sizes within a step meet."""
+    rows = hot.join(families, "cls", "left").select("key", "cls", "np", "parity", F.coalesce("fam", "cls").alias("fam"))
+    size = F.shiftright("np", 32)
+    step = F.floor(F.log(size) / math.log(100 / percent) + 1e-9).cast("long") if percent < 100 else size
+    dealt = lambda s: (F.col("key").cast("long") * 256 + s).alias("key")
+    short = F.expr(f"(np >> 32) - ({2 * percent}L * (np >> 32) + {99 + percent}) div {100 + percent} + 1")
+    own = ("cls", "fam", "np", "parity")
+    x = rows.where(F.col("np").bitwiseAND(0xFFFFFFFF) < short).select(F.explode(F.array(step, step + 1)).alias("step"), "key", *own).select(dealt(F.col("step")), *own).alias("x")
+    y = rows.select(dealt(step), *own).alias("y")
+    n = lambda side: F.shiftright(F.col(f"{side}.np"), 32)
+    at = lambda side: F.col(f"{side}.np").bitwiseAND(0xFFFFFFFF)
+    common = F.expr(f"({percent} * ((x.np >> 32) + (y.np >> 32)) + {99 + percent}) div {100 + percent}")
+    on = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.fam") != F.col("y.fam"))
+        & ((n("x") < n("y")) | (n("x") == n("y")) & (F.col("x.cls") < F.col("y.cls")))
+        & (n("x") * 100 >= n("y") * percent)
+        & (F.least(n("x") - at("x"), n("y") - at("y")) >= common)
+        & (F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= n("x") + n("y") - 2 * common)
+    )
+    return x.join(y, on).select(F.least("x.cls", "y.cls").alias("u"), F.greatest("x.cls", "y.cls").alias("v"))
+
+
+def _families(hot: DataFrame, space: Workspace) -> DataFrame:
+    """(cls, fam): groups of classes that look alike, of those with two hot tokens or more: by
+    the two least hashes of these, and half of the shorter list of them in common. Families
+    only say how pairs are compared: those within one in blocks, all others by joins."""
+    own = space.write(hot.groupBy("cls").agg(F.collect_set("key").alias("tokens")).where(F.size("tokens") > 1), "hot-tokens")
+    two = lambda seed: F.slice(F.array_sort(F.transform("tokens", lambda t: F.xxhash64(F.lit(seed), t))), 1, 2)
+    keyed = own.select("cls", F.explode(F.array(*[F.xxhash64(F.lit(seed), two(seed)) for seed in range(4)])).alias("h"))
+    leads = keyed.groupBy("h").agg(F.min("cls").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = keyed.join(leads.select("h", "u"), "h").where("u <> cls").select("u", F.col("cls").alias("v")).distinct()
+    side = lambda c, p: own.select(F.col("cls").alias(c), F.col("tokens").alias(p))
     alike = pairs.join(side("u", "pu"), "u").join(side("v", "pv"), "v").where(2 * F.size(F.array_intersect("pu", "pv")) >= F.least(F.size("pu"), F.size("pv"))).select("u", "v")
     stars = components(alike, space, "families")
     return stars.select(F.col("u").alias("cls"), F.col("v").alias("fam")).union(stars.select(F.col("v").alias("cls"), F.col("v").alias("fam")).distinct())
@@ -256,13 +354,12 @@ def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     Lines (split at \\n) are sets of words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case.
     Equal sets are a class; its first line in order of (doc_id, row_key, line_no) stands
     for it. Classes are linked if 100 * common >= percent * all their tokens.
-    Tokens are ordered by rarity. A class is found by its shorter prefix from
-    the longer prefix of classes no smaller. Keys hold the token and the size
-    in steps of 100 / percent, so that only sizes within a step meet. The length
-    filter, the positional filter and the parity maps (which bound the difference of
-    two sets from below) follow; then full sets are compared. No candidate is left out.
-    The many variants of one line are a family; they are compared in blocks that
-    count links, so that no row is made for each of their pairs.
+    Tokens are ordered by rarity. Classes that share a token of their prefixes are
+    candidates after the length, positional and parity filters (_cold_pairs); then
+    full sets are compared. No candidate is left out. Tokens that the prefixes of more
+    than GROUP classes share are hot: the many variants of one line are a family there,
+    compared in blocks that count links, so that no row is made for each of their pairs;
+    classes of different families meet by a join.
 
     Returns (doc_id, row_key, line_no, n_tokens, cls, n_links, class_doc_id, class_line_no,
     first_doc_id, first_line_no, removed). n_links: other classes linked with the
@@ -275,39 +372,31 @@ def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     Empty tables give empty results. Other columns are not read."""
     space = space or Workspace(docs.sparkSession, "lines")
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), row_key(docs[text]).alias("row_key"))
-    counts = token_counts(rows.select("text"))
-    found = space.write(line_sets(rows, counts, percent, least), "found")
+    found = space.write(line_sets(rows, token_levels(rows.select("text")), percent, least), "found")
     lines = space.write(found.select(*PLACE, "n_tokens", "s0", "s1"), "lines")
     place = F.struct(*PLACE)
     one = ("n_tokens", "parity", "skip", "prefix")
-    classes = found.groupBy("s0", "s1").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in one])
-    classes = space.write(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    whole = found.groupBy("s0", "s1").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in one])
+    whole = space.write(whole.withColumn("cls", F.monotonically_increasing_id()), "whole-classes")
     space.drop("found")
-    families = space.write(_families(classes, space), "families")
-    tokens = classes.join(families, "cls", "left").select("cls", F.coalesce("fam", "cls").alias("fam"), F.col("n_tokens").alias("n"), "parity", "skip", F.posexplode("prefix").alias("at", "token"))
-    step = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("long") if percent < 100 else F.col("n").cast("long")
-    keyed = lambda size: (F.col("token").cast("long") * 256 + size).alias("key")
-    # One number holds set size and place of the token.
-    np_ = (F.col("n").cast("long") * 2**31 + F.col("skip") + F.col("at")).alias("np")
-    short = F.expr(f"n - ({2 * percent}L * n + {99 + percent}) div {100 + percent} + 1")
-    x = tokens.where(F.col("skip") + F.col("at") < short).select(F.explode(F.array(step, step + 1)).alias("step"), "cls", "fam", np_, "parity", "token").select(keyed(F.col("step")), "cls", "fam", "np", "parity").alias("x")
-    y = tokens.select(keyed(step), "cls", "fam", np_, "parity").alias("y")
-    n = lambda side: F.shiftright(F.col(f"{side}.np"), 31)
-    pos = lambda side: F.col(f"{side}.np").bitwiseAND(2**31 - 1)
-    least_common = F.expr(f"({percent} * ((x.np >> 31) + (y.np >> 31)) + {99 + percent}) div {100 + percent}")
-    on = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.fam") != F.col("y.fam"))
-        & ((n("x") < n("y")) | (n("x") == n("y")) & (F.col("x.cls") < F.col("y.cls")))
-        & (n("x") * 100 >= n("y") * percent)
-        & (F.least(n("x") - pos("x"), n("y") - pos("y")) >= least_common)
-        & (F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= n("x") + n("y") - 2 * least_common)
-    )
-    pairs = space.write(x.join(y, on).select(F.col("x.cls").alias("u"), F.col("y.cls").alias("v")).distinct(), "pairs")
+    classes = space.write(whole.select("s0", "s1", "place", "cls"), "classes")
+    size_place = (F.col("n_tokens").cast("long") * 2**32 + F.col("skip") + F.col("at")).alias("np")
+    tokens = whole.select("cls", "n_tokens", "parity", "skip", F.posexplode("prefix").alias("at", "key"))
+    met = space.write(_cold_pairs(tokens.select("key", "cls", size_place, "parity"), percent), "met")
+    space.drop("whole-classes")
+    hot = met.where("hot").select("key", F.col("u").alias("cls"), "np", "parity")
+    families = space.write(_families(hot, space), "families")
+    fam = lambda c: families.select(F.col("cls").alias(c), F.col("fam").alias(f"fam_{c}"))
+    cold = met.where("not hot").select("u", "v").distinct().join(fam("u"), "u", "left").join(fam("v"), "v", "left")
+    # Within a family all are compared in blocks.
+    cold = cold.where("fam_u is null or fam_v is null or fam_u <> fam_v").select("u", "v")
+    pairs = space.write(cold.union(_hot_pairs(hot, families, percent)).distinct(), "pairs")
+    space.drop("met")
     asked = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).union(families.select("cls")).distinct()
-    asked = classes.select("cls", "s0", *[F.col(f"place.{c}").alias(c) for c in PLACE]).join(asked, "cls")
-    sets = space.write(_class_sets(rows, asked).join(asked.select("cls", "s0"), ["cls", "s0"]).select("cls", "items").distinct(), "sets")
+    asked = space.write(classes.select("cls", *[F.col(f"place.{c}").alias(c) for c in PLACE]).join(asked, "cls"), "asked-places")
+    sets = space.write(_class_sets(rows, asked, space), "sets")
     links = space.write(common_items(pairs, sets).where(f"100 * common >= {int(percent)} * total"), "links")
+    space.drop("pairs", "asked-places")
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     across = both.join(classes.select(F.col("cls").alias("v"), "place"), "v").select(F.col("u").alias("cls"), F.lit(1).cast("long").alias("n_links"), "place")
     inside = _family_counts(families.join(classes.select("cls", "place"), "cls"), sets, int(percent)).select("cls", "n_links", place.alias("place"))
@@ -325,13 +414,15 @@ def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
 
 def drop_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the lines marked as removed in their own row; all other
-    columns as they are. A document that had lines of enough words and keeps none of them goes;
-    others, also those without words from the start, stay. A null text stays null."""
-    gone = lines.groupBy("doc_id", "row_key").agg(F.collect_set(F.when(F.col("removed"), F.col("line_no"))).alias("_gone"), F.count_if(~F.col("removed")).alias("_left"))
-    gone = gone.where(F.size("_gone") > 0).withColumnsRenamed({"doc_id": "_doc", "row_key": "_row"})
-    split = F.split(F.col(text), "\n", -1)
-    left = F.filter(F.transform(split, lambda line, i: F.struct(line.alias("line"), F.array_contains("_gone", i).alias("gone"))), lambda x: ~x["gone"])
-    kept = F.array_join(F.transform(left, lambda x: x["line"]), "\n")
-    out = docs.join(gone, docs[key].eqNullSafe(gone["_doc"]) & (row_key(docs[text]) == gone["_row"]), "left").where("_left is null or _left > 0")
-    out = out.withColumn("_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
-    return out.select(*[F.col("_text").alias(text) if c == text else docs[c] for c in docs.columns])
+    columns as they are, whatever their names. A document of which no word is left goes; others,
+    also those without words from the start, stay. A null text stays null."""
+    taken = {c.lower() for c in docs.columns}
+    doc_id, of, gone = (next(n for n in (f"_{name}{'_' * k}" for k in range(len(taken) + 1)) if n not in taken) for name in ("doc", "row", "gone"))
+    removed = lines.where("removed").groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias(gone))
+    removed = removed.withColumnsRenamed({"doc_id": doc_id, "row_key": of})
+    split = F.split(docs[text].cast("string"), "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), docs[text]).otherwise(F.array_join(F.transform(left, lambda i: split[i]), "\n"))
+    both = docs.join(removed, docs[key].cast("long").eqNullSafe(removed[doc_id]) & (row_key(docs[text]) == removed[of]), "left")
+    both = both.where(F.col(gone).isNull() | kept.rlike("[^\\x20\\x09-\\x0D]"))
+    return both.select(*[kept.alias(c) if c == text else docs[c] for c in docs.columns])
