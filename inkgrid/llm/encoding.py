@@ -46,13 +46,14 @@ class _Words(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, cache_words: int = 700_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # Added tokens are cut out before words are: texts with one go through the library whole.
+        self.marks = [t["content"] for t in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.split = re.compile(PRE_TOKEN).findall
@@ -62,6 +63,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
+        """Forgets all words: of some 20 bytes each, they and their ids take about 50 MB at most."""
         self.words = _Words()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
@@ -106,9 +108,12 @@ class Encoder:
             return np.zeros(0, np.uint32)
         return self.ids[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
+    def _simple(self, text: str) -> bool:
+        return bool(self.by_word and not any(m in text for m in self.marks) and self.plain(text))
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; a slice of a long one at a time."""
-        if not self.by_word or not self.plain(text):
+        if not self._simple(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         out = []
         for part in self._slices(text):
@@ -123,7 +128,7 @@ class Encoder:
         group: list[tuple[int, str]] = []
         size = 0
         for i, t in enumerate(texts):
-            if len(t) > SLICE or not self.by_word or not self.plain(t):
+            if len(t) > SLICE or not self._simple(t):
                 out[i] = self.encode(t)
                 continue
             group.append((i, t))
@@ -161,7 +166,8 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file, kept between tasks."""
+    """The worker's encoder for a vocabulary file, kept between tasks. Only one is kept."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = Encoder(path)
     return _encoders[path]

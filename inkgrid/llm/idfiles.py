@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, partitions
 from .encoding import encoder
+from .words import pieces_by_bytes
 
 MAGIC = b"INKPLN01"
 CHUNK_IDS = 1 << 16
@@ -148,7 +149,8 @@ def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 
     Returns the folder of the files and the manifest (part, seq, file, n_docs,
     n_ids): the files in order of (part, seq) hold all documents in ascending
-    key order (nulls first, then by text among equal keys). Tasks write through
+    key order (nulls first; among equal keys by a digest of the text, then as they
+    come, so that rows of one key or equal rows are spread over tasks). Tasks write through
     the folder's file system under a name of their own and rename at the end,
     so a task that runs again puts the same file in place.
 
@@ -177,24 +179,24 @@ def write_ids(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
             done.append((part, seq, name, len(w.docs), w.n_ids))
             open_, seq = None, seq + 1
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for k in range(0, len(ids), 500):
-                for d, got in zip(ids[k : k + 500], enc.encode_all(texts[k : k + 500]), strict=True):
-                    if open_ is None:
-                        name = f"ids-{part:06d}-{seq:04d}.bp"
-                        tmp = f"{where}/.{name}.{task.taskAttemptId()}"
-                        sink = to.open_output_stream(tmp)
-                        open_ = (FileWriter(sink, kind), sink, tmp, name)
-                    open_[0].add(d, np.append(got, np.uint32(END_ID)))
-                    if open_[0].n_ids >= FILE_IDS:
-                        close()
+        for batch in (p for whole in batches for p in pieces_by_bytes(whole, 1)):
+            for d, got in zip(batch.column(0).to_pylist(), enc.encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                if open_ is None:
+                    name = f"ids-{part:06d}-{seq:04d}.bp"
+                    tmp = f"{where}/.{name}.{task.taskAttemptId()}"
+                    sink = to.open_output_stream(tmp)
+                    open_ = (FileWriter(sink, kind), sink, tmp, name)
+                open_[0].add(d, np.append(got, np.uint32(END_ID)))
+                if open_[0].n_ids >= FILE_IDS:
+                    close()
         if open_ is not None:
             close()
         yield pa.RecordBatch.from_pylist([dict(zip(_MANIFEST_NAMES, x, strict=True)) for x in done], schema=_MANIFEST_ARROW)
 
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64(docs[text].cast("string"))
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), tie.alias("tie"), F.monotonically_increasing_id().alias("number"))
+    order = ("doc_id", "tie", "number")
+    ordered = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return folder, space.write(ordered.mapInArrow(write, _MANIFEST), "manifest")
 
 
@@ -224,6 +226,9 @@ def read_ids(folder: str, manifest: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     docs = files.mapInArrow(read, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    # A part's files are summed in its own window; only the sums of the parts, as many as there were tasks, meet in one.
+    sum_before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", sum_before(Window.orderBy("part")).alias("part_base"))
+    inside = manifest.select("part", "file", sum_before(Window.partitionBy("part").orderBy("seq")).alias("file_base"))
+    bases = inside.join(parts, "part").select("file", (F.col("part_base") + F.col("file_base")).alias("base"))
     return docs.join(bases, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

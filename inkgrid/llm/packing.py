@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, partitions
 from .encoding import encoder
+from .words import pieces_by_bytes
 
 CAPACITY = 2048
 END_ID = 0
@@ -183,16 +184,15 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for k in range(0, len(keys), 500):
-                out = []
-                for d, got in zip(keys[k : k + 500], enc.encode_all(texts[k : k + 500]), strict=True):
-                    ids = np.append(got, np.uint32(END_ID)).astype("<u4")
-                    first = len(ids) % capacity or capacity
-                    for p, start in enumerate([0, *range(first, len(ids), capacity)]):
-                        part = ids[start : (first if p == 0 else start + capacity)]
-                        out.append((d, p, start, len(part), zlib.crc32(part), part.tobytes() if keep_ids else None))
+        for batch in (p for whole in batches for p in pieces_by_bytes(whole, 1)):
+            out = []
+            for d, got in zip(batch.column(0).to_pylist(), enc.encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids = np.append(got, np.uint32(END_ID)).astype("<u4")
+                first = len(ids) % capacity or capacity
+                for p, start in enumerate([0, *range(first, len(ids), capacity)]):
+                    part = ids[start : (first if p == 0 else start + capacity)]
+                    out.append((d, p, start, len(part), zlib.crc32(part), part.tobytes() if keep_ids else None))
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
@@ -207,17 +207,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ke
 
     The driver holds the histogram of lengths (at most `capacity` rows) and the
     plan made from it (one row for each run of a kind of bin). A piece's rank
-    among those of its length comes from blocks of its hash: each (length, block)
-    is numbered on its own and begins at the count of the blocks before it, so a
-    length that a third of the pieces have is spread over all blocks.
+    among those of its length comes from blocks of the number that it gets when the
+    pieces are written: each (length, block) is numbered on its own and begins at the
+    count of the blocks before it, so a length, a document or a row that a third of the
+    pieces have is spread over all blocks.
 
     Null or empty text: one piece of END_ID alone. Equal rows are packed one by
     one. An empty table gives an empty result. Other columns are not read."""
     spark = docs.sparkSession
     space = Workspace(spark, "packing")
-    pieces = space.write(cut_pieces(docs, tokenizer, capacity, key, text, keep_ids), "pieces")
+    pieces = space.write(cut_pieces(docs, tokenizer, capacity, key, text, keep_ids).withColumn("_n", F.monotonically_increasing_id()), "pieces")
     n = max(64, partitions(spark))
-    blocked = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n)).cast("int"))
+    blocked = pieces.withColumn("_block", F.pmod(F.xxhash64("_n"), F.lit(n)).cast("int"))
     counts = space.write(blocked.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     lengths, first, _, run, sequence, offset = plan(histogram, capacity).T if histogram else np.zeros((6, 0), np.int64)
@@ -236,7 +237,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ke
 
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("length", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_begin"))
-    inside = Window.partitionBy("length", "_block").orderBy("doc_id", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "_block").orderBy("_n")
     ranked = blocked.withColumn("_rank", F.row_number().over(inside) - 1).join(begins, ["length", "_block"])
     placed = ranked.withColumn("_at", place("length", F.col("_begin") + F.col("_rank")))
     own = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]

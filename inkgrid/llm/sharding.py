@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import Workspace, partitions
 
 
 def _score(key_hash: Column, shard: int, weight: float) -> Column:
@@ -29,33 +29,25 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: Sequence[float] = (1.0,) * 16, grown_weight: float = 1.0, blocks: int | None = None) -> DataFrame:
     """One row per document: key, size, text_crc32, law, shard, slot, grown_shard.
 
-    ``slot`` numbers a shard's documents from 0 by block of the key's hash, then
-    key, then text digest: each (shard, block) is numbered on its own and begins
-    at the count of the blocks before it, so no task holds a whole shard.
+    ``slot`` numbers a shard's documents from 0. Rows get a number of their own when
+    they are written, which deals them into blocks: each (shard, block) is numbered on
+    its own and begins at the count of the blocks before it. So no task holds a whole
+    shard, nor all rows of a key that many rows share.
     ``grown_shard`` is the shard with one more shard of ``grown_weight``.
 
     Null text: size 1, crc 0. Equal rows each get a row and a slot. An empty
     table gives an empty result. Other columns are not read."""
     n = blocks or max(64, partitions(docs.sparkSession))
-    k = docs[key]
-    placed = [
-        k.alias(key),
-        rendezvous(k, weights).alias("shard"),
-        F.pmod(F.xxhash64(k.cast("string"), F.lit("slot")), F.lit(n)).cast("int").alias("_block"),
-    ]
-    body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    rows = docs.select(
-        *placed,
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
-        rendezvous(k, [*weights, grown_weight]).alias("grown_shard"),
-    )
-    counts = docs.select(*placed[1:]).groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_block").orderBy(key, "text_crc32", "size")
-    return (
-        rows.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(starts, ["shard", "_block"])
-        .select(key, "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int"), (F.col("_start") + F.col("_rank")).cast("long").alias("slot"), F.col("grown_shard").cast("int"))
-    )
+    k, body = docs[key], F.coalesce(docs[text].cast("string"), F.lit(""))
+    placed = docs.select(
+        k.alias("key"), rendezvous(k, weights).alias("shard"), rendezvous(k, [*weights, grown_weight]).alias("grown_shard"),
+        (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("number"),
+    )
+    rows = Workspace(docs.sparkSession, "shards").write(placed, "placed").withColumn("block", F.pmod(F.xxhash64("number"), F.lit(n)).cast("int"))
+    counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "block").orderBy("number")
+    ranked = rows.withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["shard", "block"])
+    slot = (F.col("start") + F.col("rank")).cast("long").alias("slot")
+    return ranked.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int"), slot, F.col("grown_shard").cast("int"))

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from inkgrid.llm import idfiles, packing, sharding
@@ -20,7 +21,6 @@ PATH = P.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def whole():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -36,6 +36,12 @@ def test_encoder_equals_library(whole):
     assert [x.tolist() for x in own.encode_all(texts)] == [whole(t) for t in texts]
 
 
+def test_special_tokens_are_the_librarys(whole):
+    assert whole("<|endoftext|> x")[0] == 50256
+    text = "a b<|endoftext|>c " * 3 + prose(random.Random(3), 50)
+    assert Encoder(PATH).encode(text).tolist() == whole(text)
+
+
 def test_encoder_slices_long_texts(whole, monkeypatch):
     monkeypatch.setattr("inkgrid.llm.encoding.SLICE", 50)
     text = prose(random.Random(2), 400) + "nospace" * 40
@@ -62,16 +68,29 @@ def test_file_round_trip(kind, n):
 def test_id_files_of_edge_docs(spark, whole):
     docs = edge_docs(spark)
     got = idfiles.read_ids(*idfiles.write_ids(with_clashes(docs), PATH)).collect()
-    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    want, at = [], 0
-    for d, t in rows:
-        ids = np.array([*whole(t), 0], "<u4")
-        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    want = {}
+    for r in docs.collect():
+        ids = np.array([*whole(r.text), 0], "<u4")
+        want.setdefault(r.doc_id, []).append((len(ids), zlib.crc32(ids.tobytes())))
+    found, at = {}, 0
+    for r in sorted(got, key=lambda r: r.start):  # in ascending order of ids, rows of one id in any order, without gaps
+        assert r.start == at
+        at += r.n_tokens
+        found.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
+    order = [d for d in found if d is not None]
+    assert next(iter(found)) is None and order == sorted(order)
+    assert {d: sorted(x) for d, x in found.items()} == {d: sorted(x) for d, x in want.items()}
     assert idfiles.read_ids(*idfiles.write_ids(empty(spark), PATH)).count() == 0
 
 
+def test_rows_of_one_key_are_spread(spark):
+    docs = spark.range(4000).selectExpr("cast(null AS bigint) AS doc_id", "'same text' AS text").repartition(4)
+    folder, manifest = idfiles.write_ids(docs, PATH)
+    assert manifest.agg(F.max("n_docs")).first()[0] < 2500 and idfiles.read_ids(folder, manifest).count() == 4000
+    got = sharding.shard_documents(docs).collect()
+    assert sorted(r.slot for r in got) == list(range(4000))
+
+
 def check_packing(pieces, capacity):
     bins = {}
     for length, s, o in pieces:
