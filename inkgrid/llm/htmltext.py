@@ -10,6 +10,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .words import pieces_by_bytes
+
 # Elements that end a block, elements whose contents are no text,
 # void elements, elements and name parts that are not the article.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -36,8 +38,10 @@ STOP_WORDS = frozenset(
     sobre su sus también te tiene todo una uno y ya yo""".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+# An attribute as HTML reads it: a quote means something only where a value begins.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+)*+)(?:>|$)", re.S)
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}?+))?+")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -57,7 +61,7 @@ def _aside(tag: str, rest: str, in_main: bool) -> bool:
         return True
     if not rest or tag in ("html", "body"):
         return False
-    values = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(rest)}
+    values = {k.lower(): v[1:-1] if v[:1] in ("'", '"') else v for k, v in _ATTRIBUTE.findall(rest)}
     if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(values.get("style", "")):
         return True
     names = {x.lower() for k in ("class", "id", "role") for x in _NAMES.findall(values.get(k, ""))}
@@ -150,41 +154,45 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _first(b: Block, short_chars: int, dense: float, sparse: float) -> bool | None:
-    """True, False or None (undecided) by where a block is, its links, length and stop words."""
+def stop_share(text: str) -> float:
+    """The share of stop words among the words of a text."""
+    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(b: Block, short_chars: int, dense: float, sparse: float) -> bool | None:
+    """True, False or None (undecided) by stop-word density, link density and length; the
+    bounds are lower in an article or main element."""
     if b.aside:
         return False
-    links = b.linked / len(b.text)
-    if b.main:
-        if links > 0.5:
-            return False if b.tag in ("li", "ul", "ol", "td", "div", "nav") else None
-        return True if len(b.text) >= short_chars else None
-    if links > 0.33:
+    links, short = b.linked / len(b.text), len(b.text) < short_chars
+    if b.main and links > 0.5:
+        return False if b.tag in ("li", "ul", "ol", "td", "div", "nav") else None
+    if not b.main and (links > 0.33 or short and links > 0):
         return False
-    words = [w.strip(".,;:!?\"'()").lower() for w in b.text.split()]
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
-    if len(b.text) < short_chars:
-        return False if links > 0 else None
-    if stops >= dense:
-        return True
-    if stops >= sparse:
+    if short:
         return None
-    return False
+    if stop_share(b.text) >= (sparse if b.main else dense):
+        return True
+    # Few stop words: lists, code, tables.
+    return None if b.main or links == 0 else False
 
 
 def main_text(page: str | None, short_chars: int = 70, dense: float = 0.3, sparse: float = 0.15) -> str:
     """The article of a page, a line for each block.
 
     First pass: a block in an element apart (navigation, header, footer, sidebar,
-    notice, advert, form, comments) is out; so is one of mostly links. In an
-    article or main element, a block that isn't short is in. Elsewhere a block
-    that isn't short is in if its stop words are dense, and out if they are few. Second pass: an
-    undecided block takes the label of the nearest decided blocks, first of the
+    notice, advert, form, comments) is out; so is one of mostly links. A block that isn't
+    short is in if its stop words are dense: at least `sparse` in an article or main
+    element, `dense` elsewhere. Short blocks, and long ones with few stop words but no links, are
+    undecided. Second pass: these take the label of the nearest decided blocks of the
     same kind of place (in or outside an article or main element). If they differ,
-    it is in within an article or main element, and if it is a heading with
-    text to follow; without any, it is in if no block of the page was decided as in."""
+    they are in within an article or main element, and as headings with
+    text to follow; without any, they are in if no block of the page was decided as in. In an
+    article or main element blocks of few links are never out for their neighbours. Long
+    blocks of few stop words elsewhere need decided blocks that are in on both sides."""
     blocks = blocks_of(page or "")
-    first = [_first(b, short_chars, dense, sparse) for b in blocks]
+    first = [first_pass(b, short_chars, dense, sparse) for b in blocks]
     n = len(blocks)
     before: list[tuple[int, bool] | None] = [None] * n
     after: list[tuple[int, bool] | None] = [None] * n
@@ -200,7 +208,9 @@ def main_text(page: str | None, short_chars: int = 70, dense: float = 0.3, spars
         label = first[i]
         if label is None:
             around = {x[1] for x in (before[i], after[i]) if x}
-            if len(around) == 1:
+            if not b.main and len(b.text) >= short_chars and len(around) == 1 and not (before[i] and after[i]):
+                label = False
+            elif len(around) == 1:
                 label = around.pop() or b.main and b.linked / len(b.text) <= 0.5
             elif around:
                 label = b.main or b.tag in HEADINGS and after[i] is not None and after[i][1]
@@ -217,8 +227,7 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for part in pieces_by_bytes(b, 2):
                 texts = [main_text(h) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

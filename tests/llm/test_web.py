@@ -91,3 +91,42 @@ def test_odd_pages(spark):
     assert {r.page_id: r.text for r in got} == {i: t for i, _, t in cases} | {None: "x"}
     assert len(got) == len(cases) + 2 and all(r.n_chars == len(r.text) for r in got)
     assert htmltext.extract_text(pages.where(F.lit(False))).count() == 0
+
+
+def test_stray_quotes_end_only_their_attribute():
+    more = " ".join(["the end of this, and of that, is not to be lost in it."] * 3)
+    cases = {
+        f"<article><p data-x=it's>{ARTICLE}</p><p>{more} doesn't</p></article>": [ARTICLE, f"{more} doesn't"],
+        f'<article><p title="5" tall">{ARTICLE}</p><p>{more}</p></article>': [ARTICLE, more],
+        f'<article><p title="open>{ARTICLE}</p><p>{more}</p></article>': [ARTICLE, more],
+        f"<article><p a=b/c =d 'e' f = \"g > h\">{ARTICLE}</p></article>": [ARTICLE],
+        f'<article><div class="ad" id=\'x"y\'>Buy</div><p>{ARTICLE}</p></article>': [ARTICLE],
+    }
+    for page, want in cases.items():
+        assert htmltext.main_text(page).split("\n") == want
+
+
+PROSE = {
+    "en": "The house that we had seen from the road was not as old as it had been said to be, and it was for sale.",
+    "fr": "La maison que nous avons vue de la route est plus grande que celle de la ville, mais elle ne se vend pas.",
+    "de": "Das Haus ist nicht so alt wie die anderen in der Straße, aber es hat auch einen Garten und ist für uns.",
+    "es": "La casa que está en el camino no es muy grande, pero tiene un patio y es para todos los que se quedan.",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_density_decides_without_article(lang):
+    menu = "".join(f"<li><a href='/{i}'>Section {i} of the site that is in the list of all sections of it</a></li>" for i in range(4))
+    codes = " ".join(f"X{i}-{i * 7}" for i in range(30))
+    page = f"<body><ul>{menu}</ul><h1>Title</h1><p>{PROSE[lang]}</p><p>Short one.</p><p>{codes}</p><p>{PROSE[lang]}</p><p>{codes}</p></body>"
+    assert htmltext.main_text(page).split("\n") == ["Title", PROSE[lang], "Short one.", codes, PROSE[lang]]
+    blocks = htmltext.blocks_of(page)
+    decided = [htmltext.first_pass(b, 70, 0.3, 0.15) for b in blocks]
+    assert decided.count(True) == 2 and decided.count(False) == 4  # by stop words; by links
+    assert htmltext.main_text(f"<body><p>{codes}</p><p>{codes}</p></body>") == f"{codes}\n{codes}"
+
+
+def test_very_long_page(spark):
+    html = "<main>" + "".join(f"<p>{ARTICLE} {i}</p><div class='ad'>Buy {i}</div>" for i in range(20_000)) + "</main>"
+    got = htmltext.extract_text(spark.createDataFrame([(1, "u", html)], SCHEMA)).first()
+    assert got.text == "\n".join(f"{ARTICLE} {i}" for i in range(20_000)) and got.n_chars == len(got.text)
