@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 from .decontam import ENDS
+from .words import pieces_by_bytes
 
 # Symbol characters, and the white space between words.
 SYMBOLS = "#*$%&|<>"
@@ -71,7 +72,7 @@ class _Bare(dict):
         self.toxic = toxic
 
     def __missing__(self, word: bytes) -> bytes | None:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         bare = word.strip(ENDS)
         self[word] = out = bare if bare in self.toxic else None
@@ -128,7 +129,7 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bare = _Bare(toxic)
-        for b in batches:
+        for b in (p for batch in batches for p in pieces_by_bytes(batch, 1)):
             keys, texts = b.column(0), b.column(1).to_pylist()
             got = [statistics(t) for t in texts]
             counts = np.array([c for c, _ in got], np.int64).reshape(-1, len(COUNTS))
@@ -233,11 +234,16 @@ def _sample(labels: DataFrame, target: str, rows: int, key: str = "doc_id") -> D
     return labels.select(labels[key].cast("long").alias("doc_id"), labels[target].cast("int").alias("_y")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(rows)
 
 
+def _at_most(known: DataFrame, rows: int) -> DataFrame:
+    """Twice `rows` labelled documents at most, by a hash of their statistics: a labelled key may be on many documents."""
+    return known.orderBy(F.xxhash64("doc_id", *COUNTS), "doc_id", *COUNTS).limit(2 * rows)
+
+
 def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", target: str = "quality", train_rows: int = 20_000) -> Trees | None:
-    """Trees fitted on at most `train_rows` labelled rows, those with the least
-    hash of their key. None if the labels don't have both classes."""
+    """Trees fitted on at most `train_rows` labels, those with the least hash of their
+    key, and at most twice as many documents. None if the labels don't have both classes."""
     chosen = _sample(labels, target, train_rows, key)
-    got = stats.join(chosen, "doc_id").select("_y", *FEATURES).toPandas()
+    got = _at_most(stats.join(chosen, "doc_id"), train_rows).select("_y", *FEATURES).toPandas()
     y = (got["_y"].to_numpy() > 0).astype(float)
     if not 0 < y.sum() < len(y):
         return None
@@ -249,7 +255,7 @@ def train_toxic(stats: DataFrame, labels: DataFrame, train_rows: int = 20_000) -
     """Trees for the label `toxic` over TOXIC, fitted on the half of the labelled rows
     that didn't choose the words. None if that half doesn't have both classes."""
     chosen = _sample(labels, "toxic", train_rows).where(_half() == 1)
-    got = stats.join(chosen, "doc_id").select("_y", *TOXIC).toPandas()
+    got = _at_most(stats.join(chosen, "doc_id"), train_rows).select("_y", *TOXIC).toPandas()
     y = (got["_y"].to_numpy() > 0).astype(float)
     if not 0 < y.sum() < len(y):
         return None
@@ -296,7 +302,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, train_row
 
 def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = 20_000, least_words: int = 50, most_repeat_percent: int = 50, least_score: float = 0.5) -> DataFrame:
     """The documents that judge_quality keeps, with all their columns, in one pass
-    after the fit; the fit reads the documents of at most `train_rows` labels."""
+    after the fit; the fit reads the documents of at most `train_rows` labels. Each row is judged
+    by its own text, whatever its key: null and empty texts go, equal rows stay or go
+    together. An empty table stays empty; without labels the base rules alone decide."""
     known = _labelled(docs, labels, key, text, train_rows)
     words = learn_words(known, labels, train_rows)
     stats = Workspace(docs.sparkSession, "quality").write(document_statistics(known, toxic=words), "stats")
@@ -306,7 +314,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bare = _Bare(words)
-        for b in batches:
+        for b in (p for batch in batches for p in pieces_by_bytes(batch, at)):
             texts = b.column(at).to_pylist()
             got = [statistics(t) for t in texts]
             counts = dict(zip(COUNTS, np.array([c for c, _ in got], np.int64).reshape(-1, len(COUNTS)).T, strict=True))

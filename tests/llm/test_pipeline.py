@@ -1,12 +1,14 @@
 """The pipeline's stages and queries over the smallest tables, against plain models."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
 from inkgrid.llm import queries
 from inkgrid.llm.common import table
 
-from .helpers import with_clashes
+from .helpers import edge_docs, empty, prose, with_clashes
 from .test_text import base, line_model, near_model
 
 
@@ -44,10 +46,10 @@ def test_line_stage(stages):
     kept = {r.doc_id: r for r in after.collect()}
     for d, t in rows:
         own = {k: v[-1] for (x, k), v in want.items() if x == d}
-        if own and all(own.values()):
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if not own.get(k))
+        if left != t and not left.split():
             assert d not in kept
         else:
-            left = "\n".join(x for k, x in enumerate(t.split("\n")) if not own.get(k))
             assert kept[d].text == left and kept[d].n_chars == len(left)
 
 
@@ -85,3 +87,37 @@ def test_queries_run_with_other_columns(spark, sf_dir, tmp_path, name):
     for t in ("documents", "pages", "labels", "benchmark"):
         with_clashes(table(spark, sf_dir, t)).limit(40).write.parquet(f"{tmp_path}/{t}.parquet")
     queries.QUERIES[name](spark, str(tmp_path)).count()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_edge_rows(spark, sf_dir, name):
+    """Nulls, blanks, ties, repeated and very long rows and clashing names; and empty tables."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = with_clashes(edge_docs(spark))
+    out = stage(spark, docs, sf_dir)
+    rows = out.collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id) for r in rows)
+    every = sorted((-1 if r.doc_id is None else r.doc_id) for r in docs.collect())
+    if name == "pack":
+        assert sorted(set(got)) == sorted(set(every)) and stage(spark, empty(spark), sf_dir).count() == 0
+        return
+    assert out.columns == docs.columns
+    want = {
+        "quality": [], "line_dedup": every, "decontaminate": every,
+        # 4 and 5 are equal texts, as are 6 and 7; both rows of 5 go.
+        "near_dedup": [-1, -1, 1, 2, 3, 4, 6, 8, 9, 10, 11],
+    }[name]
+    assert got == want
+    assert stage(spark, empty(spark), sf_dir).count() == 0
+
+
+def test_rows_without_ids_are_deduplicated_and_decontaminated(spark, sf_dir):
+    rnd = random.Random(30)
+    a, b = prose(rnd, 80), prose(rnd, 80)
+    item = next(r.text for r in table(spark, sf_dir, "benchmark").collect() if len(r.text.split()) > 10)
+    rows = [(None, a), (None, a), (3, b), (None, b), (4, f"{prose(rnd, 60)} {item}"), (4, prose(rnd, 70)), (None, f"{item} {prose(rnd, 60)}"), (5, a), (5, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text in (a, b)) for r in left) == [(0, False), (3, True), (4, False), (4, False), (5, True)]
+    clean = corpus_pipeline.decontaminate(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or 0) for r in clean) == [0, 0, 0, 3, 4, 5, 5]
