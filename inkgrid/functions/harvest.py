@@ -74,6 +74,44 @@ def labels(document: Column, depth: int = 6) -> Column:
     return run(document)
 
 
+# Characters of a text that a model is given, and the button that ends a form.
+CONTEXT = 3500
+SUBMIT = {"type": "button", "label": "Submit Inspection / إرسال التفتيش", "key": "submit_btn", "size": "md", "block": True, "action": "submit", "disableOnInvalid": True, "theme": "primary"}
+
+
+def with_submit(form: Column) -> Column:
+    """A form's JSON with a submit button as its last component, if it has none; null for what is no form."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            got = json.loads(t)
+            parts = got["components"]
+            if not any(c.get("type") == "button" and c.get("action") == "submit" for c in parts):
+                parts.append(SUBMIT)
+        except (TypeError, ValueError, KeyError, AttributeError):
+            return None
+        return json.dumps(got, ensure_ascii=False)
+
+    return F.pandas_udf(lambda s: s.map(one), "string")(form)
+
+
+def checklists(texts: DataFrame, client: Callable[[list[str]], list[str]], text: str = "text") -> DataFrame:
+    """Adds `answer`, what a model says of the first CONTEXT characters of each text, and `form`: the
+    form found in the answer's JSON, with a submit button. Where the model fails, or
+    says nothing of use, both or the form are null."""
+
+    def ask(s):
+        import pandas as pd
+
+        try:
+            return pd.Series(client([(x or "")[:CONTEXT] for x in s]), dtype=object)
+        except Exception:  # rows of a failed call have no answer
+            return pd.Series([None] * len(s), dtype=object)
+
+    said = texts.withColumn("answer", F.pandas_udf(ask, "string")(F.col(text)))
+    return said.withColumn("form", with_submit(find_form(rescue_json(F.col("answer")))))
+
+
 def name_unknowns(labels_df: DataFrame, client: Callable[[list[str]], dict[str, str]], text: str = "text", canonical: str = "canonical") -> DataFrame:
     """Fills null canonical names by a client (a model), asked for distinct labels only;
     where it fails, names stay null."""

@@ -139,6 +139,21 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.union(back).groupBy("node").agg(F.countDistinct("other").alias("degree"), F.sort_array(F.collect_set("edge_type")).alias("types"))
 
 
+# Seconds that the jobs of a queue may take.
+QUEUES = {"ingestion": 600, "analytics": 120}
+
+
+def job_status(jobs: DataFrame, events: DataFrame, now: Column) -> DataFrame:
+    """Where each job (job_id, queue) stands by its events (job_id, event, at: started, finished
+    or failed): queued, started, finished or failed; failed as well when it took longer than
+    its queue allows."""
+    times = events.groupBy("job_id").agg(*[F.min(F.when(F.col("event") == e, F.col("at"))).alias(e) for e in ("started", "finished", "failed")])
+    most = F.create_map(*[F.lit(x) for kv in QUEUES.items() for x in kv])[F.col("queue")]
+    late = F.timestamp_diff("MICROSECOND", F.col("started"), F.coalesce(F.least("finished", "failed"), now)) > most * 1_000_000
+    status = F.when(F.col("failed").isNotNull() | late, "failed").when(F.col("finished").isNotNull(), "finished").when(F.col("started").isNotNull(), "started").otherwise("queued")
+    return jobs.join(times, "job_id", "left").withColumn("status", status)
+
+
 def dead_letters(rows: DataFrame, failed: Column, at: str, attempts: str = "attempts") -> tuple[DataFrame, DataFrame]:
     """The rows that went well, and the failed ones with the time of their next try."""
     from ..functions.text import retry_at

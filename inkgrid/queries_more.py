@@ -12,7 +12,7 @@ from .functions import text as tx
 from .operators import align, analytics, cluster, fuse, quality, render, state, structure
 from .plans import stages
 from .queries_layout import _ALIGN, _CELLS, _GEOMETRY, _LEADERS
-from .sources import readers, tables
+from .sources import images, readers, tables
 from .views import PAGE_H, PAGE_W, lines, regions, tokens, with_views
 
 
@@ -743,3 +743,51 @@ def approval_gates(spark: SparkSession, sf: str) -> DataFrame:
     gates = state.approvals(f, "doc").select("doc", "n_fields", F.col("open_issues").alias("blocking"), (F.col("open_issues") == 0).alias("can_approve"))
     name = F.when(F.col("doc") % 17 == 0, "a.docx").otherwise("a.PDF")
     return gates.withColumn("refused", quality.upload_refused(name, F.when(F.col("doc") % 19 == 0, 60 << 20).otherwise(1)))
+
+
+# --- images, models and jobs --------------------------------------------------------
+def _drawn(keys):
+    """Images of 240 by 200 pixels with a long line each way and a short one."""
+    import numpy as np
+
+    def one(k: int) -> bytes:
+        gray = np.full((200, 240), 255, np.uint8)
+        gray[20 + k % 50 : 22 + k % 50, 10 : 110 + k % 100] = 0
+        gray[5 : 85 + k % 60, 225:228] = 30
+        gray[150, 20:40] = 0
+        return gray.tobytes()
+
+    return keys.map(one)
+
+
+@both("SELECT s_suppkey AS page, 'horizontal' AS orientation, 21.0e0 + s_suppkey % 50 AS axis, 10.0e0 AS start, 110.0e0 + s_suppkey % 100 AS stop FROM supplier UNION ALL SELECT s_suppkey, 'vertical', 226.5e0, 5.0e0, 85.0e0 + s_suppkey % 60 FROM supplier")
+def image_lines(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"), F.lit(240).alias("width"), F.lit(200).alias("height"), F.pandas_udf(_drawn, "binary")("s_suppkey").alias("pixels"))
+    return images.detect_lines(pages, 100.0).select("page", "orientation", "axis", "start", "stop")
+
+
+def _answers(texts: list[str]) -> list[str]:
+    """Stands for a model in generated_checklists."""
+    button = ', {"type": "button", "action": "submit"}'
+    return [f'Here: {{"components": [{{"key": "k{len(t)}"}}{button if len(t) % 2 else ""}]}} done' if len(t) % 3 else "I can not say." for t in texts]
+
+
+@both("""WITH t AS (SELECT doc_id, length(substr(text, 1, 3500)) AS n FROM documents)
+SELECT doc_id, CASE WHEN n % 3 > 0 THEN concat('{"components": [{"key": "k', n, '"}', CASE WHEN n % 2 = 1 THEN ', {"action": "submit", "type": "button"}' ELSE ', {"type": "button", "label": "Submit Inspection / إرسال التفتيش", "key": "submit_btn", "size": "md", "block": true, "action": "submit", "disableOnInvalid": true, "theme": "primary"}' END, ']}') END AS form FROM t""")
+def generated_checklists(spark: SparkSession, sf: str) -> DataFrame:
+    """The model reads the first 3500 characters: the operator's own bound."""
+    return harvest.checklists(_t(spark, sf, "documents").select("doc_id", "text"), _answers).select("doc_id", "form")
+
+
+@both("""WITH now AS (SELECT max(ts) AS n FROM events), e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ingestion' ELSE 'analytics' END AS queue, event_id % 4 AS k, event_id % 11 * 60 AS took, ts FROM events)
+SELECT event_id AS job_id, CASE WHEN k = 0 THEN 'queued' WHEN k = 1 THEN CASE WHEN epoch(n) - epoch(ts) > CASE queue WHEN 'ingestion' THEN 600 ELSE 120 END THEN 'failed' ELSE 'started' END
+WHEN k = 2 THEN CASE WHEN took > CASE queue WHEN 'ingestion' THEN 600 ELSE 120 END THEN 'failed' ELSE 'finished' END ELSE 'failed' END AS status FROM e, now""")
+def job_statuses(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs that wait, run, ended after some minutes, or failed."""
+    e = _t(spark, sf, "events").select(F.col("event_id").alias("job_id"), F.when(F.col("event_id") % 2 == 0, "ingestion").otherwise("analytics").alias("queue"), (F.col("event_id") % 4).alias("k"), "ts", (F.col("event_id") % 11).alias("minutes"))
+    ended = F.when(F.col("k") == 2, "finished").when(F.col("k") == 3, "failed")
+    after = F.col("ts") + F.make_dt_interval(mins=F.col("minutes").cast("int"))
+    begun = e.where("k > 0").select("job_id", F.lit("started").alias("event"), F.col("ts").alias("at"))
+    over = e.where("k > 1").select("job_id", ended.alias("event"), after.alias("at"))
+    now = e.agg(F.max("ts").alias("_now"))
+    return state.job_status(e.select("job_id", "queue").crossJoin(F.broadcast(now)), begun.unionByName(over), F.col("_now")).select("job_id", "status")

@@ -130,3 +130,18 @@ def test_dead_letters(spark, tmp_path):
     streams.with_dead_letters(s, lambda b: b.write.mode("append").parquet(str(tmp_path / "ok")), str(tmp_path / "dead"), checkpoint=str(tmp_path / "cp")).awaitTermination(120)
     assert [r.id for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == [1]
     assert [r.id for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == [2]
+
+
+def test_streamed_sessions_and_files(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 05:00:00"), (1, "2024-01-01 12:00:00"), (2, "2024-01-01 01:00:00"), (9, "2024-01-09 00:00:00")]
+    spark.createDataFrame(rows, "user_id long, t string").selectExpr("user_id", "cast(t AS timestamp) AS ts").coalesce(1).write.parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema("user_id long, ts timestamp").parquet(f"{tmp_path}/events")
+    q = streams.sessions(stream).writeStream.format("memory").queryName("sessions_out").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.user_id, str(r.started), r.n) for r in spark.table("sessions_out").collect()}
+    assert got >= {(1, "2024-01-01 00:00:00", 2), (1, "2024-01-01 12:00:00", 1), (2, "2024-01-01 01:00:00", 1)}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one")
+    files = streams.new_files(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("files_out").trigger(availableNow=True).start()
+    files.awaitTermination(120)
+    assert [bytes(r.content) for r in spark.table("files_out").collect()] == [b"one"]
