@@ -49,24 +49,23 @@ def pair_drift(pairs: DataFrame, cells: DataFrame, sizes: DataFrame, key: str =
 
 
 def best_templates(prints: DataFrame, templates: DataFrame, most: float = 0.3, limit: int = 1000) -> DataFrame:
-    """The template of least drift for each layout, up to `most`. Templates are a
-    library; up to `limit` of them are sent to all tasks as one array column, so
-    each layout is compared in place. A larger library goes in blocks of that size
-    whose minima are merged. Both sides: id, cells (map), regions, aspect."""
-    n = templates.count()
-    blocks = max(1, -(-n // limit))
-    best = None
-    for k in range(blocks):
-        part = templates.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).agg(F.collect_list(F.struct("id", "cells", "regions", "aspect")).alias("library"))
-        rows = prints.crossJoin(F.broadcast(part))
-
-        def one(t: Column) -> Column:
-            keys = F.array_union(F.map_keys("cells"), F.map_keys(t["cells"]))
-            gap = F.aggregate(keys, F.lit(0).cast("bigint"), lambda s, c: s + F.abs(F.coalesce(F.try_element_at(F.col("cells"), c), F.lit(0)) - F.coalesce(F.try_element_at(t["cells"], c), F.lit(0))))
-            return F.struct(F.round(drift(F.col("regions"), t["regions"], F.col("aspect"), t["aspect"], gap), 6).alias("drift"), t["id"].alias("template_id"))
-
-        got = rows.select("id", F.array_min(F.transform("library", one)).alias("b"))
-        best = got if best is None else best.unionByName(got)
+    """The template of least drift for each layout, up to `most`. Templates are a library, dealt
+    into blocks of about `limit` as one array each. A library of one block is sent to all tasks;
+    of a larger one, each block meets each part of the layouts in a join, and the
+    minima are merged. Both sides: id, cells (map), regions, aspect."""
+    blocks = max(1, -(-templates.count() // limit))
+    parts = 1 if blocks == 1 else int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    library = templates.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(F.struct("id", "cells", "regions", "aspect")).alias("library")).withColumn("_part", numbers(parts))
+    dealt = prints.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("_block", numbers(blocks))
+    rows = dealt.join(F.broadcast(library) if blocks == 1 else library, ["_block", "_part"])
+
+    def one(t: Column) -> Column:
+        keys = F.array_union(F.map_keys("cells"), F.map_keys(t["cells"]))
+        gap = F.aggregate(keys, F.lit(0).cast("bigint"), lambda s, c: s + F.abs(F.coalesce(F.try_element_at(F.col("cells"), c), F.lit(0)) - F.coalesce(F.try_element_at(t["cells"], c), F.lit(0))))
+        return F.struct(F.round(drift(F.col("regions"), t["regions"], F.col("aspect"), t["aspect"], gap), 6).alias("drift"), t["id"].alias("template_id"))
+
+    best = rows.select("id", F.array_min(F.transform("library", one)).alias("b"))
     best = best.where("b is not null").groupBy("id").agg(F.min("b").alias("b"))
     return best.select("id", F.col("b.template_id").alias("template_id"), F.col("b.drift").alias("drift")).where(F.col("drift") <= most)
 

@@ -677,13 +677,13 @@ def alignment_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @both(with_views(_CELLS + """, lang AS (SELECT page, count(*) AS n, count(*) FILTER (source = 'native') AS nat FROM tokens GROUP BY page)
-SELECT c.page, cast(max(col) + 1 AS integer) AS n_cols, cast(max(row) + 1 AS integer) AS n_rows, count(*) AS n_cells, round(avg(confidence), 4) AS avg_confidence, CASE WHEN any_value(nat) = any_value(n) THEN 'native' WHEN any_value(nat) = 0 THEN 'ocr' ELSE 'hybrid' END AS mode, count(*) FILTER (confidence < 0.65) AS n_issues FROM cells c JOIN lang USING (page) GROUP BY c.page""", "tokens"))
+SELECT c.page, cast(max(col) + 1 AS integer) AS n_cols, cast(max(row) + 1 AS integer) AS n_rows, count(*) AS n_cells, CASE WHEN any_value(nat) = any_value(n) THEN 'native' WHEN any_value(nat) = 0 THEN 'ocr' ELSE 'hybrid' END AS mode, count(*) FILTER (confidence < 0.65) AS n_issues FROM cells c JOIN lang USING (page) GROUP BY c.page""", "tokens"))
 def scanned_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Scans with a broken page for every tenth; the others go on to a fingerprint."""
     sized = tokens(spark, sf).withColumns({"page_w": F.lit(PAGE_W + 1000), "page_h": F.lit(PAGE_H + 1000), "error": F.lit(None).cast("string")})
     broken = sized.where("page % 10 = 0").select("page").distinct().select(*[(F.col("page") + 1_000_000).alias("page") if c == "page" else F.lit("no page").alias(c) if c == "error" else F.lit(None).cast(dict(sized.dtypes)[c]).alias(c) for c in sized.columns])
     run = stages.Run(spark, stages.document_plan()).start(scanned=sized.unionByName(broken))
-    return run.tables["fingerprints"].select("page", "n_cols", "n_rows", "n_cells", "avg_confidence", "mode", "n_issues")
+    return run.tables["fingerprints"].select("page", "n_cols", "n_rows", "n_cells", "mode", "n_issues")
 
 
 @both("SELECT DISTINCT p_size AS size, concat('a', p_size) AS artifact_id FROM part WHERE p_size > 30")
