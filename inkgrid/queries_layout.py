@@ -361,17 +361,17 @@ def _gate(spark: SparkSession, sf: str) -> DataFrame:
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
     empty, boxed = F.col("l_linenumber") % 2 == 0, F.col("l_quantity") > 10
     per = items.groupBy(F.col("l_orderkey").alias("doc")).agg(
-        F.round(F.avg(1 - F.col("l_tax") * 6), 6).alias("avg_confidence"), F.countDistinct("l_suppkey").alias("n_blocks"), F.count(F.lit(1)).alias("n_cells"),
-        F.count_if(empty).alias("n_empty_cells"), F.count_if(boxed).alias("n_boxed_cells"),
+        F.round(F.avg(1 - F.col("l_tax") * 6), 6).alias("avg_confidence"), F.countDistinct(F.when(F.col("l_returnflag") != "N", F.col("l_suppkey"))).alias("n_blocks"), F.count(F.lit(1)).alias("n_cells"),
+        F.count_if(empty).alias("n_empty_cells"), F.count_if(boxed).alias("n_boxed_cells"), F.count_if((F.col("l_linenumber") == 1) & (F.col("l_quantity") < 5)).alias("n_empty_blocks"),
     )
-    return per.withColumns({"n_empty_blocks": F.lit(0), "file_type": F.when(F.col("doc") % 2 == 0, "pdf").otherwise("docx")})
+    return per.withColumns({"file_type": F.when(F.col("doc") % 2 == 0, "pdf").otherwise("docx")})
 
 
-_GATE = """per AS (SELECT l_orderkey AS doc, round(avg(1 - l_tax * 6), 6) AS c, count(*) AS n, count(*) FILTER (l_linenumber % 2 = 0) AS e, count(*) FILTER (l_quantity > 10) AS b FROM lineitem GROUP BY l_orderkey),
-v AS (SELECT doc, c, CASE WHEN c < 0.6 THEN 1 ELSE 0 END + CASE WHEN doc % 2 = 0 AND b = 0 THEN 1 ELSE 0 END + CASE WHEN e > 0.5 * n THEN 1 ELSE 0 END AS k FROM per)"""
+_GATE = """per AS (SELECT l_orderkey AS doc, round(avg(1 - l_tax * 6), 6) AS c, count(*) AS n, count(*) FILTER (l_linenumber % 2 = 0) AS e, count(*) FILTER (l_quantity > 10) AS b, count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_suppkey END) AS blocks, count(*) FILTER (l_linenumber = 1 AND l_quantity < 5) AS empty_blocks FROM lineitem GROUP BY l_orderkey),
+v AS (SELECT doc, c, CASE WHEN c < 0.6 THEN 1 ELSE 0 END + CASE WHEN blocks = 0 THEN 1 ELSE 0 END + empty_blocks + CASE WHEN doc % 2 = 0 AND b = 0 THEN 1 ELSE 0 END + CASE WHEN e > 0.5 * n THEN 1 ELSE 0 END AS k FROM per)"""
 
 
-@both(f"WITH {_GATE} SELECT doc, c AS avg_confidence, k AS n_violations, CASE WHEN k = 0 THEN 'pass' WHEN k = 1 AND c >= 0.6e0 * 0.8e0 THEN 'warning' ELSE 'hard_stop' END AS status FROM v")
+@both(f"WITH {_GATE} SELECT doc, c AS avg_confidence, cast(k AS integer) AS n_violations, CASE WHEN k = 0 THEN 'pass' WHEN k = 1 AND c >= 0.6e0 * 0.8e0 THEN 'warning' ELSE 'hard_stop' END AS status FROM v")
 def quarantine_gate(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quarantine(_gate(spark, sf)).select("doc", "avg_confidence", "n_violations", "status")
 
