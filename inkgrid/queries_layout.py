@@ -164,7 +164,7 @@ _GHOST = r"(text = '' OR regexp_matches(text, '^[._\-\s/\\:]+$') OR regexp_match
 _CELLS = _ROWS + f""", fr AS (SELECT *, {_FRAG} AS frag FROM rowed),
 gp AS (SELECT *, x1 - lag(x2) OVER w AS gap, frag OR lag(frag) OVER w AS any_frag, lag(x2) OVER w IS NULL AS head FROM fr WINDOW w AS (PARTITION BY page, row ORDER BY x1, token_id)),
 bl AS (SELECT *, cast(sum(CASE WHEN head OR gap <= 30.0e0 OR (any_frag AND gap < 75.0e0) THEN 0 ELSE 1 END) OVER (PARTITION BY page, row ORDER BY x1, token_id ROWS UNBOUNDED PRECEDING) AS integer) AS block FROM gp),
-raw_cells AS (SELECT page, row, block AS col, trim(string_agg(text, ' ' ORDER BY y1, x1, token_id)) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(avg(confidence), 6) AS confidence, count(*) AS n_tokens,
+raw_cells AS (SELECT page, row, block AS col, trim(string_agg(text, ' ' ORDER BY y1, x1, token_id, text)) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(avg(confidence), 6) AS confidence, count(*) AS n_tokens,
               CASE WHEN count(*) FILTER (source = 'native') > floor(count(*) / 2) THEN 'native' ELSE 'ocr' END AS source FROM bl GROUP BY page, row, block),
 cells AS (SELECT * FROM raw_cells WHERE NOT {_GHOST})
 """
@@ -244,7 +244,7 @@ def gap_audit(spark: SparkSession, sf: str) -> DataFrame:
 @both(with_views("""marked AS (SELECT *, floor(y1 / 4) AS line FROM tokens),
 gp AS (SELECT *, abs(y1 - lag(y1) OVER w) <= 4 AND (lag(x1) OVER w - x2 BETWEEN 0 AND 8 OR x1 - lag(x2) OVER w BETWEEN 0 AND 8) AS near, lag(x1) OVER w IS NULL AS head FROM marked WINDOW w AS (PARTITION BY page ORDER BY line, x2 DESC, token_id)),
 ch AS (SELECT *, cast(sum(CASE WHEN head OR near THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY line, x2 DESC, token_id ROWS UNBOUNDED PRECEDING) AS integer) AS chain FROM gp)
-SELECT page, chain, string_agg(text, '' ORDER BY x1, token_id) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_tokens FROM ch GROUP BY page, chain""", "tokens"))
+SELECT page, chain, string_agg(text, '' ORDER BY x1, token_id, text) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_tokens FROM ch GROUP BY page, chain""", "tokens"))
 def token_chains(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.token_chains(tokens(spark, sf))
 
@@ -253,7 +253,7 @@ def token_chains(spark: SparkSession, sf: str) -> DataFrame:
 c AS (SELECT page, token_id, row, confidence, x1, x2, text, sum(d) OVER (PARTITION BY page ORDER BY (x1 + x2) / 2, token_id ROWS UNBOUNDED PRECEDING) AS col FROM (SELECT *, CASE WHEN (x1 + x2) / 2 - lag((x1 + x2) / 2) OVER (PARTITION BY page ORDER BY (x1 + x2) / 2, token_id) > 40 THEN 1 ELSE 0 END AS d FROM r)),
 size AS (SELECT page, cast(max(row) AS bigint) AS mr, cast(max(col) AS bigint) AS mc FROM c GROUP BY page),
 dense AS (SELECT page, row, unnest(range(0, mc + 1)) AS col FROM (SELECT page, mc, unnest(range(0, mr + 1)) AS row FROM size))
-SELECT d.page, cast(d.row AS integer) AS row, cast(d.col AS integer) AS col, coalesce(string_agg(text, ' ' ORDER BY (x1 + x2) / 2, token_id), '') AS text, coalesce(round(avg(confidence), 6), 0.0e0) AS confidence
+SELECT d.page, cast(d.row AS integer) AS row, cast(d.col AS integer) AS col, coalesce(string_agg(text, ' ' ORDER BY (x1 + x2) / 2, token_id, text), '') AS text, coalesce(round(avg(confidence), 6), 0.0e0) AS confidence
 FROM dense d LEFT JOIN c ON d.page = c.page AND d.row = c.row AND d.col = c.col GROUP BY ALL""", "tokens"))
 def table_grid(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.table_grid(tokens(spark, sf))

@@ -445,7 +445,7 @@ def nearest_rows(spark: SparkSession, sf: str) -> DataFrame:
 @both(with_views(_FOLDS + """, g AS (SELECT t.*, r.row, x.c AS cs, list_transform(x.c, lambda v: abs(v - (t.x1 + t.x2) / 2)) AS d FROM tokens t JOIN rowed r USING (page, token_id) JOIN xf x USING (page)),
 p AS (SELECT *, list_position(d, list_min(d)) - 1 AS col FROM g),
 size AS (SELECT page, max(row) AS mr, max(len(cs)) AS n FROM p GROUP BY page), dense AS (SELECT page, row, unnest(range(0, n)) AS col FROM (SELECT page, n, unnest(range(0, mr + 1)) AS row FROM size))
-SELECT d.page, cast(d.row AS integer) AS row, cast(d.col AS integer) AS col, coalesce(string_agg(text, ' ' ORDER BY (x1 + x2) / 2, token_id), '') AS text, coalesce(round(avg(confidence), 6), 0.0e0) AS confidence, coalesce(min(x1), 0.0e0) AS x1, coalesce(max(y2), 0.0e0) AS y2
+SELECT d.page, cast(d.row AS integer) AS row, cast(d.col AS integer) AS col, coalesce(string_agg(text, ' ' ORDER BY (x1 + x2) / 2, token_id, text), '') AS text, coalesce(round(avg(confidence), 6), 0.0e0) AS confidence, coalesce(min(x1), 0.0e0) AS x1, coalesce(max(y2), 0.0e0) AS y2
 FROM dense d LEFT JOIN p ON d.page = p.page AND d.row = p.row AND d.col = p.col GROUP BY ALL""", "tokens"))
 def nearest_cells(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.nearest_cells(tokens(spark, sf)).select("page", "row", "col", "text", "confidence", "x1", "y2")
