@@ -370,6 +370,66 @@ def test_recall_of_passages_near_the_threshold(spark):
     assert len(near) >= 20 and got <= near and len(got & near) >= 0.9 * len(near)
 
 
+def test_no_link_of_runs_is_left_out(spark):
+    """All pairs of runs of small texts, by brute force: linked ones are in a passage with each other, or
+    connected by passages at their places; a passage may end as many words early as a similar run may lack."""
+    rnd = random.Random(31)
+    size, shingle, percent = 24, 3, 80
+    rows = []
+    for case in range(30):
+        few = [f"w{case}x{i}" for i in range(6 if case % 3 == 0 else 300)]
+        base = [rnd.choice(few) for _ in range(60)]
+        for k in range(5):
+            text = list(base[rnd.randint(0, 20) : rnd.randint(40, 60)])
+            for _ in range(rnd.randint(0, 3)):
+                i = rnd.randrange(len(text))
+                text[i : i + rnd.randint(0, 1)] = [rnd.choice([*few, "new", f"n{rnd.random()}"])]
+            rows.append((10 * case + k, " ".join([f"a{rnd.random()}" for _ in range(rnd.randint(0, 9))] + text + ["end of it"] * rnd.randint(0, 2))))
+
+    def runs(text):
+        w = text.split()
+        g = [tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)]
+        return [frozenset(g[i : i + size - shingle + 1]) for i in range(len(w) - size + 1)]
+
+    sets = {d: runs(t) for d, t in rows}
+    got = passages.repeated_passages(docs_of(spark, rows), words=size, shingle=shingle, percent=percent).collect()
+    slack = 2
+    edges = set()
+    for r in got:  # a passage is one thing: its runs in both documents
+        own = [(r.doc_id, i) for i in range(r.start_word - slack, r.end_word - size + slack + 1)]
+        own += [(r.source_doc_id, i) for i in range(r.source_start_word - slack, r.source_end_word - size + slack + 1)]
+        own = [(d, i) for d, i in own if 0 <= i < len(sets[d])]
+        edges |= {(own[0], x) for x in own[1:]}
+    nodes = [(d, i) for d, s in sets.items() for i in range(len(s))]
+    number = {x: i for i, x in enumerate(nodes)}
+    group = plain_components(sorted(number.values()), [(number[a], number[b]) for a, b in edges])
+    links = []
+    for x in sets:
+        for y in sets:
+            if x < y and x // 10 == y // 10:
+                links += [((x, i), (y, j)) for i, a in enumerate(sets[x]) for j, b in enumerate(sets[y]) if 100 * len(a & b) >= percent * len(a | b)]
+    lost = [(a, b) for a, b in links if group[number[a]] != group[number[b]]]
+    assert {(r.doc_id, r.source_doc_id) for r in got} <= {(b[0], a[0]) for a, b in links}
+    assert len(links) > 1000 and not lost, (len(lost), len(links), lost[:5])
+
+
+def test_variants_that_only_meet_behind_an_earlier_document(spark):
+    """Each pair shares 50 words but for one; earlier documents have other variants of all parts of them."""
+    rnd = random.Random(32)
+    rows, want = [], set()
+    for case in range(20):
+        p = prose(rnd, 50, 10**6).split()
+        q = list(p)
+        q[rnd.randrange(50)] = "changed"
+        at = 10 * case
+        for k in range(3):
+            rows.append((at + k, f"{prose(rnd, 30, 10**6)} {' '.join(p[12 * k : 12 * k + 26])} {prose(rnd, 30, 10**6)}"))
+        rows += [(at + 5, f"{prose(rnd, 30, 10**6)} {' '.join(p)}"), (at + 6, f"{' '.join(q)} {prose(rnd, 30, 10**6)}")]
+        want.add((at + 6, at + 5))
+    got = {(r.doc_id, r.source_doc_id) for r in passages.repeated_passages(docs_of(spark, rows)).collect()}
+    assert got == want
+
+
 def test_passages_at_a_later_place_of_the_leader(spark):
     rnd = random.Random(20)
     rows = []
