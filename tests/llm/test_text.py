@@ -430,6 +430,24 @@ def test_variants_that_only_meet_behind_an_earlier_document(spark):
     assert got == want
 
 
+def test_pairs_without_a_passage_make_no_rows_at_last(spark, monkeypatch):
+    """Near copies that are too far from each other: the last comparison of all pairs writes passages alone."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"x{i}-{j}" if rng.random() < 0.08 else w for j, w in enumerate(base))) for i in range(40)]
+    written, write = {}, passages.Workspace.write
+
+    def kept(self, df, name):
+        written[name] = write(self, df, name)
+        return written[name]
+
+    monkeypatch.setattr(passages.Workspace, "write", kept)
+    passages.repeated_passages(docs_of(spark, rows)).collect()
+    assert written["open-2"].count() > 0
+    assert written["found-rest"].where("end_word is null").count() == 0
+    assert not {"runs", "postings"} & set(written)  # a row for each run or item is shuffled once, not written too
+
+
 def test_passages_at_a_later_place_of_the_leader(spark):
     rnd = random.Random(20)
     rows = []
