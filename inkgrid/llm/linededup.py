@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions
+from .common import NARROW_ROWS, Workspace, partitions
 from .components import components
-from .setcheck import common_items, common_matrix
+from .setcheck import common_at_places, common_matrix, dealt_pairs, needed_sets
 from .sketch import KeyFilter, bits_for, slot_levels, slot_of
 from .words import _GOLD, Words, column_words, mix, pieces_by_bytes, raw_texts, words_of
 
@@ -22,6 +22,8 @@ GROUP = 512
 ROWS = 1 << 16
 #: Classes of a family on one side of a comparison.
 SIDE = 256
+#: Sets over so many tokens have a wide parity map of so many bits; wider ones fold to narrower ones.
+WIDE = ((48, 256), (256, 1024))
 #: Bytes of text for a slot of the token table.
 SLOT_BYTES = 32
 
@@ -46,10 +48,10 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("line_no", pa.int32()), ("n_tokens", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("parity", pa.int64()), ("skip", pa.int32()), ("prefix", pa.list_(pa.int32()))])
+_LINES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("line_no", pa.int32()), ("n_tokens", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("parity", pa.int64()), ("skip", pa.int32()), ("prefix", pa.list_(pa.int32())), ("wide", pa.binary())])
 #: Where a line is: rows that share a doc_id, or have none, are told apart by their texts.
 PLACE = ("doc_id", "row_key", "line_no")
-_LINES_SQL = "doc_id long, row_key long, line_no int, n_tokens int, s0 long, s1 long, parity long, skip int, prefix array<int>"
+_LINES_SQL = "doc_id long, row_key long, line_no int, n_tokens int, s0 long, s1 long, parity long, skip int, prefix array<int>, wide binary"
 
 
 def _lines_of(raw: np.ndarray, at: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,6 +81,55 @@ def _by_rarity(h: np.ndarray, line: np.ndarray, level: np.ndarray) -> np.ndarray
     return order[np.concatenate([[True], ~same])]
 
 
+def wide_maps(h: np.ndarray, n: np.ndarray, at_once: int = 1 << 8) -> pa.Array:
+    """The wide parity maps of sets of n tokens that lie one after another; null for short sets."""
+    begins = np.cumsum(n) - n
+    size = np.zeros(len(n), np.int64)
+    for low, bits in WIDE:
+        size[n > low] = bits // 8
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(n) else 0, np.uint8)
+    for bits in (bits for _, bits in WIDE):
+        of = np.flatnonzero(size == bits // 8)
+        for k in range(0, len(of), at_once):
+            some = of[k : k + at_once]
+            own = np.repeat(np.arange(len(some)), n[some])
+            tokens = h[np.arange(len(own)) + np.repeat(begins[some] - (np.cumsum(n[some]) - n[some]), n[some])]
+            odd = np.bincount(own * bits + (tokens >> np.uint64(8) & np.uint64(bits - 1)).astype(np.int64), minlength=len(some) * bits).astype(np.uint8) & 1
+            out[(ends - size)[some][:, None] + np.arange(bits // 8)] = np.packbits(odd.reshape(len(some), bits), axis=1)
+    places = np.concatenate([[0], ends]).astype(np.int32)
+    known = np.packbits(size > 0, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [pa.py_buffer(x) for x in (known, places, out)])
+
+
+def _apart(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) without those of one family, which are compared in blocks, and those that the wide parity maps
+    of both show to have too many different tokens. facts: cls, fam, n_tokens, wide."""
+    side = lambda c: facts.select(F.col("cls").alias(c), F.col("fam").alias(f"fam_{c}"), F.col("n_tokens").alias(f"n_{c}"), F.col("wide").alias(f"w_{c}"))
+    both = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").where("fam_u is null or fam_v is null or fam_u <> fam_v")
+    both = both.select("u", "v", "n_u", "n_v", "w_u", "w_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            on = np.ones(b.num_rows, bool)
+            sizes = [b.column(c).fill_null(0).to_numpy().astype(np.int64) for c in (2, 3)]
+            maps = [raw_texts(b.column(c)) for c in (4, 5)]
+            long = [np.diff(at) for _, at in maps]
+            for x in np.unique(long[0][long[0] > 0]).tolist():
+                for y in np.unique(long[1][long[1] > 0]).tolist():
+                    rows = np.flatnonzero((long[0] == x) & (long[1] == y))
+                    if not len(rows):
+                        continue
+                    w = min(x, y)
+                    u, v = (np.bitwise_xor.reduce(raw[at[rows][:, None] + np.arange(k)].reshape(len(rows), k // w, w), axis=1) for (raw, at), k in zip(maps, (x, y), strict=True))
+                    n = sizes[0][rows] + sizes[1][rows]
+                    common = (percent * n + 99 + percent) // (100 + percent)
+                    on[rows] = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64) <= n - 2 * common
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(on)) for c in (0, 1)], names=["u", "v"])
+
+    return both.mapInArrow(run, "u long, v long")
+
+
 def row_key(text: Column) -> Column:
     """Tells rows of one doc_id, or of none, apart; the same whenever it is computed."""
     return F.xxhash64(text.cast("string"))
@@ -89,7 +140,7 @@ def line_sets(texts: DataFrame, levels: np.ndarray, percent: int, least: int) ->
     a 128-bit digest (s0, s1) and a 64-bit parity map of the set, and its prefix: the
     rarest tokens, of which any linked set has one, by 32 bits of their hashes. The
     first `skip` of them are left out, as they occur nowhere else; sets too small to be
-    linked with another set have none."""
+    linked with another set have none; and of larger sets a wide parity map."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)  # 64 MB at most
     bits = len(levels).bit_length() - 1
 
@@ -124,7 +175,7 @@ def line_sets(texts: DataFrame, levels: np.ndarray, percent: int, least: int) ->
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array((h[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
         own = [b.column(c).take(pa.array(owner)) for c in (0, 2)]
         rest = [(lines - first[owner]).astype(np.int32), n.astype(np.int32), s0.view(np.int64), s1.view(np.int64), parity.view(np.int64), skip]
-        return pa.RecordBatch.from_arrays([*own, *map(pa.array, rest), lists], schema=_LINES)
+        return pa.RecordBatch.from_arrays([*own, *map(pa.array, rest), lists, wide_maps(h, n)], schema=_LINES)
 
     return texts.mapInArrow(run, _LINES_SQL)
 
@@ -133,10 +184,10 @@ def _place_hash(doc_id: np.ndarray, row_key: np.ndarray, line_no: np.ndarray) ->
     return mix(mix(doc_id.view(np.uint64) + _GOLD) + row_key.view(np.uint64)) + line_no.astype(np.uint64)
 
 
-def _class_sets(docs: DataFrame, asked: DataFrame, space: Workspace) -> DataFrame:
-    """(cls, items): the token sets of asked classes (cls, s0 and the place of the first
-    line). Texts are read where they are: lines whose places pass a filter of the asked
-    ones give their sets, which then meet the places; so no text is shuffled."""
+def _class_sets(docs: DataFrame, asked: DataFrame, needed: DataFrame, space: Workspace) -> DataFrame:
+    """(cls, g, chunk, items): the token sets of asked classes (cls and the place of the first
+    line), for each place (g, chunk) of `needed`. Texts are read where they are: lines whose places
+    pass a filter of the asked ones give their sets, which then meet the places; so no text is shuffled."""
     doc = F.coalesce("doc_id", F.lit(0))  # rows without doc_id have row_key
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +234,10 @@ def _class_sets(docs: DataFrame, asked: DataFrame, space: Workspace) -> DataFram
         )
 
     found = docs.select(doc.alias("doc_id"), "text", "row_key").mapInArrow(run, "doc_id long, row_key long, line_no int, items binary")
-    wanted = asked.select(doc.alias("doc_id"), "row_key", "line_no", "cls")
+    wanted = asked.select(doc.alias("doc_id"), "row_key", "line_no", "cls").join(needed, "cls")
     # Rows equal in doc_id and text are one row; the join has put their lines together.
     place = ["doc_id", "row_key", "line_no"]
-    return found.join(wanted, place).dropDuplicates([*place, "cls"]).select("cls", "items")
+    return found.join(wanted, place).dropDuplicates([*place, "cls", "g", "chunk"]).select("cls", "g", "chunk", "items")
 
 
 def _cold_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -238,6 +289,8 @@ def _cold_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
     def split(rows: list[np.ndarray], hot_key: int | None, last: bool = False) -> tuple[pa.RecordBatch | None, list[np.ndarray] | None, int | None]:
         """What is settled, the rows of the last key if they may go on, and that key if it is hot already."""
+        order = np.lexsort((rows[2], rows[0]))
+        rows = [x[order] for x in rows]
         key = rows[0]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(edge, len(key)))
@@ -250,7 +303,7 @@ def _cold_pairs(postings: DataFrame, percent: int) -> DataFrame:
         out = send(*pairs(*on), [x[:done][is_hot] for x in rows]) if done else None
         return out, [x[done:] for x in rows] if hold else None, int(key[-1]) if hot[-1] else None
 
-    rows = postings.repartition(partitions(postings.sparkSession), "key").sortWithinPartitions("key", "np")
+    rows = postings.repartition(partitions(postings.sparkSession), "key").sortWithinPartitions("key")  # one column: a radix sort
     return rows.select("key", "cls", "np", "parity").mapInArrow(run, "u long, v long, key int, np long, parity long, hot boolean")
 
 
@@ -355,8 +408,8 @@ def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     Equal sets are a class; its first line in order of (doc_id, row_key, line_no) stands
     for it. Classes are linked if 100 * common >= percent * all their tokens.
     Tokens are ordered by rarity. Classes that share a token of their prefixes are
-    candidates after the length, positional and parity filters (_cold_pairs); then
-    full sets are compared. No candidate is left out. Tokens that the prefixes of more
+    candidates after the length, positional and parity filters (_cold_pairs, and wide
+    parity maps of larger sets); then full sets are compared. No candidate is left out. Tokens that the prefixes of more
     than GROUP classes share are hot: the many variants of one line are a family there,
     compared in blocks that count links, so that no row is made for each of their pairs;
     classes of different families meet by a join.
@@ -375,36 +428,45 @@ def join_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     found = space.write(line_sets(rows, token_levels(rows.select("text")), percent, least), "found")
     lines = space.write(found.select(*PLACE, "n_tokens", "s0", "s1"), "lines")
     place = F.struct(*PLACE)
-    one = ("n_tokens", "parity", "skip", "prefix")
+    one = ("n_tokens", "parity", "skip", "prefix", "wide")
     whole = found.groupBy("s0", "s1").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in one])
     whole = space.write(whole.withColumn("cls", F.monotonically_increasing_id()), "whole-classes")
     space.drop("found")
-    classes = space.write(whole.select("s0", "s1", "place", "cls"), "classes")
     size_place = (F.col("n_tokens").cast("long") * 2**32 + F.col("skip") + F.col("at")).alias("np")
     tokens = whole.select("cls", "n_tokens", "parity", "skip", F.posexplode("prefix").alias("at", "key"))
-    met = space.write(_cold_pairs(tokens.select("key", "cls", size_place, "parity"), percent), "met")
+    met = space.write(_cold_pairs(tokens.select("key", "cls", size_place, "parity"), percent), "met", NARROW_ROWS)
+    classes = space.write(whole.select("s0", "s1", "place", "cls"), "classes")
+    wide = space.write(whole.where("wide is not null").select("cls", "n_tokens", "wide"), "wide")
     space.drop("whole-classes")
     hot = met.where("hot").select("key", F.col("u").alias("cls"), "np", "parity")
     families = space.write(_families(hot, space), "families")
-    fam = lambda c: families.select(F.col("cls").alias(c), F.col("fam").alias(f"fam_{c}"))
-    cold = met.where("not hot").select("u", "v").distinct().join(fam("u"), "u", "left").join(fam("v"), "v", "left")
-    # Within a family all are compared in blocks.
-    cold = cold.where("fam_u is null or fam_v is null or fam_u <> fam_v").select("u", "v")
+    facts = space.write(wide.join(families, "cls", "full").select("cls", "fam", "n_tokens", "wide"), "facts")
+    space.drop("wide")
+    cold = _apart(met.where("not hot").select("u", "v").distinct(), facts, int(percent))
     pairs = space.write(cold.union(_hot_pairs(hot, families, percent)).distinct(), "pairs")
-    space.drop("met")
-    asked = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).union(families.select("cls")).distinct()
-    asked = space.write(classes.select("cls", *[F.col(f"place.{c}").alias(c) for c in PLACE]).join(asked, "cls"), "asked-places")
-    sets = space.write(_class_sets(rows, asked, space), "sets")
-    links = space.write(common_items(pairs, sets).where(f"100 * common >= {int(percent)} * total"), "links")
-    space.drop("pairs", "asked-places")
+    space.drop("met", "facts")
+    dealt = space.write(dealt_pairs(pairs), "dealt")
+    space.drop("pairs")
+    null = F.lit(None)
+    needed = needed_sets(dealt).union(families.select("cls", null.cast("long"), null.cast("int")))
+    needed = space.write(needed, "needed")
+    asked = space.write(classes.join(needed.select("cls").distinct(), "cls"), "asked-places")
+    places = asked.select("cls", *[F.col(f"place.{c}").alias(c) for c in PLACE])
+    sets = space.write(_class_sets(rows, places, needed, space), "sets")
+    space.drop("needed")
+    links = space.write(common_at_places(dealt, sets.where("g is not null")).where(f"100 * common >= {int(percent)} * total"), "links")
+    space.drop("dealt")
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    across = both.join(classes.select(F.col("cls").alias("v"), "place"), "v").select(F.col("u").alias("cls"), F.lit(1).cast("long").alias("n_links"), "place")
-    inside = _family_counts(families.join(classes.select("cls", "place"), "cls"), sets, int(percent)).select("cls", "n_links", place.alias("place"))
+    across = both.join(asked.select(F.col("cls").alias("v"), "place"), "v").select(F.col("u").alias("cls"), F.lit(1).cast("long").alias("n_links"), "place")
+    own = sets.where("g is null").select("cls", "items")
+    inside = _family_counts(families.join(asked.select("cls", "place"), "cls"), own, int(percent)).select("cls", "n_links", place.alias("place"))
     linked = across.union(inside).groupBy("cls").agg(F.sum("n_links").alias("n_links"), F.min("place").alias("near"))
-    known = classes.select("s0", "s1", "cls", "place").join(linked, "cls", "left")
+    linked = space.write(linked.join(asked.select("cls", "s0", "s1"), "cls").drop("cls"), "linked")
+    space.drop("sets", "links", "families", "asked-places")
     first = F.least("place", F.coalesce("near", "place"))
-    known = known.select("s0", "s1", "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"), "place", first.alias("first"))
-    out = lines.join(known, ["s0", "s1"])
+    # All three are dealt by the digest, so lines and classes are shuffled once.
+    out = lines.join(classes, ["s0", "s1"]).join(linked, ["s0", "s1"], "left")
+    out = out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))).withColumn("first", first)
     later = F.struct(*map(F.col, PLACE)) > F.col("first")
     return out.select(
         "doc_id", "row_key", "line_no", "n_tokens", "cls", "n_links", F.col("place.doc_id").alias("class_doc_id"), F.col("place.line_no").alias("class_line_no"),

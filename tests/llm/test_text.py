@@ -183,6 +183,27 @@ def test_lines_of_edge_docs(spark):
     assert out.count() == edge_docs(spark).count() and out.columns == with_clashes(edge_docs(spark)).columns
 
 
+def test_sets_of_long_lines_are_sent_for_near_pairs_alone(spark, monkeypatch):
+    """Long lines with some rare words in common are no pairs; all pairs of alike lines meet at one place."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"a{j}" for j in rng.choice(400, 160, replace=False))) for i in range(30)]
+    base_line = [f"b{j}" for j in range(100)]
+    rows += [(100 + i, " ".join(f"c{i}" if j == i else w for j, w in enumerate(base_line))) for i in range(20)]
+    rows += [(200 + i, " ".join(f"d{rng.integers(40)}" for _ in range(400))) for i in range(3)]
+    written, write = {}, linededup.Workspace.write
+
+    def kept(self, df, name, *rest):
+        out = write(self, df, name, *rest)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup.Workspace, "write", kept)
+    got = {r.doc_id: r.n_links for r in linededup.join_lines(docs_of(spark, rows)).collect()}
+    assert [got[i] for i in range(30)] == [0] * 30
+    assert [got[100 + i] for i in range(20)] == [19] * 20
+    assert written["sets"] < 30
+
+
 def test_line_drop_takes_any_column_names(spark):
     names = ("_gone", "_left", "_text", "_doc", "_row", "_GONE_", "doc", "row", "line_no", "removed", "row_key")
     rows = [(1, "a b c d e f\nshort one"), (2, "short two\nA b c d e f"), (3, "a b c d e f\n\t"), (None, None)]
