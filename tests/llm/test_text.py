@@ -469,6 +469,51 @@ def test_pairs_without_a_passage_make_no_rows_at_last(spark, monkeypatch):
     assert not {"runs", "postings"} & set(written)  # a row for each run or item is shuffled once, not written too
 
 
+def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
+    """Three groups of documents share 40 words, too few for a link, and go on with a line of their group that is commoner still."""
+    rnd = random.Random(41)
+    one, other, *lines = prose(rnd, 40, 10**6), prose(rnd, 45, 10**6), *(prose(rnd, 14, 10**6) for _ in range(3))
+    rows = [(i, f"{prose(rnd, 20, 10**6)} {one if i < 90 else other} {lines[i % 3]} {prose(rnd, 20, 10**6)}") for i in range(480)]
+    asked, verified = [], passages._verified
+
+    def counted(rows, near, pairs, t, shingle, percent, last=False):
+        asked.append(pairs.count())
+        return verified(rows, near, pairs, t, shingle, percent, last)
+
+    monkeypatch.setattr(passages, "_verified", counted)
+    got = [(r.doc_id, r.source_doc_id) for r in passages.repeated_passages(docs_of(spark, rows)).collect()]
+    group = plain_components(range(480), got)
+    assert len({group[i] for i in range(90)}) == 3 and all(group[i] == i % 3 for i in range(90))
+    assert sum(asked[1:]) < 1000, asked
+
+
+def test_alike_windows_equal_sets():
+    """No document with a similar run is left out, and those with too few items of every run are."""
+    rnd = np.random.default_rng(6)
+    t, percent = 20, 80
+    told = 0
+    for case in range(60):
+        seq = rnd.integers(0, 12 if case % 3 == 0 else 10**6, 30).astype(np.uint64)
+        sets, least, want, most = [], [], [], []
+        for _ in range(30):
+            other = seq.copy()
+            other = np.where(rnd.random(30) < rnd.choice([0.05, 0.1, 0.4]), rnd.integers(10**7, 10**8, 30).astype(np.uint64), other)
+            runs = [set(other[i : i + t].tolist()) for i in range(11)]
+            own = [set(seq[i : i + t].tolist()) for i in range(11)]
+            sets.append(np.unique(other))
+            least.append(min(map(len, runs)))
+            want.append(any(100 * len(a & b) >= percent * len(a | b) for a in own for b in runs))
+            most.append(len(set(seq.tolist()) & set(other.tolist())))
+        of, owner = np.concatenate(sets), np.repeat(np.arange(30), [len(x) for x in sets])
+        order = np.argsort(of, kind="stable")
+        got = passages.alike_windows(seq, (of[order], owner[order]), np.array(least), t, percent)
+        assert not (np.array(want) & ~got).any()
+        if case % 3:
+            assert not got[np.array(most) < 16].any()
+        told += int((~got).sum())
+    assert told > 100
+
+
 def test_passages_at_a_later_place_of_the_leader(spark):
     rnd = random.Random(20)
     rows = []
