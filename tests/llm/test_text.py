@@ -469,7 +469,8 @@ def test_pairs_without_a_passage_make_no_rows_at_last(spark, monkeypatch):
     assert not {"runs", "postings"} & set(written)  # a row for each run or item is shuffled once, not written too
 
 
-def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("members", [1 << 12, 16])
+def test_a_common_passage_makes_few_pairs(spark, monkeypatch, members):
     """Three groups of documents share 40 words, too few for a link, and go on with a line of their group that is commoner still."""
     rnd = random.Random(41)
     one, other, *lines = prose(rnd, 40, 10**6), prose(rnd, 45, 10**6), *(prose(rnd, 14, 10**6) for _ in range(3))
@@ -481,6 +482,7 @@ def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
         return verified(rows, near, pairs, t, shingle, percent, last)
 
     monkeypatch.setattr(passages, "_verified", counted)
+    monkeypatch.setattr(passages, "MEMBERS", members)
     got = [(r.doc_id, r.source_doc_id) for r in passages.repeated_passages(docs_of(spark, rows)).collect()]
     group = plain_components(range(480), got)
     assert len({group[i] for i in range(90)}) == 3 and all(group[i] == i % 3 for i in range(90))
