@@ -312,7 +312,7 @@ g AS (SELECT page, m, min(a // 10000) AS row_start, max(a // 10000) AS row_end,
 SELECT page, cast(m // 10000 AS integer) AS root_row, cast(m % 10000 AS integer) AS root_col, cast(row_start AS integer) AS row_start, cast(row_end AS integer) AS row_end, cast(col_start AS integer) AS col_start, cast(col_end AS integer) AS col_end,
  cast(least(row_end - row_start + 1, 6) AS integer) AS rowspan, cast(least(col_end - col_start + 1, 6) AS integer) AS colspan, row_end > row_start OR col_end > col_start AS is_merged, cast(n AS integer) AS n_cells, CASE WHEN row_end > row_start OR col_end > col_start THEN 0.75e0 ELSE 0.9e0 END AS confidence FROM g""")
 def merged_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.merged_cells(structure.grid_edges(lines(spark, sf)))
+    return structure.merged_grid_cells(lines(spark, sf))
 
 
 _DENSITY = f"density AS (SELECT page, cast(greatest(least(floor((y1 + y2) / 2 / 100.0e0), 9), 0) * 10 + greatest(least(floor((x1 + x2) / 2 / 120.0e0), 9), 0) AS integer) AS cell, count(*) AS n FROM wide GROUP BY ALL)"
