@@ -20,6 +20,12 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to all tasks, for those from which Python makes much more than they hold: a
+    small file is read by one task, and small partitions are joined after a shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _pick(column: str, names: tuple[str, ...]) -> Column:
     """One of the names by a number."""
     return F.array(*[F.lit(n) for n in names])[(F.col(column) % len(names)).cast("int")]
@@ -289,12 +295,8 @@ def _zipped(parts: dict[str, object]) -> bytes:
 
 
 def _sheet(rows):
-    """Workbooks of one sheet: rows of (row number, [(column, text)]); cells have references, empty ones are left out."""
-    def one(r) -> bytes:
-        body = "".join(f'<row r="{x["k"]}">' + "".join(f'<c r="{chr(65 + c["col"])}{x["k"]}" t="inlineStr"><is><t>{c["text"]}</t></is></c>' for c in x["cells"]) + "</row>" for x in r)
-        return _zipped({"xl/worksheets/sheet1.xml": f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'})
-
-    return rows.map(one)
+    """Workbooks of one sheet, from the XML of its rows."""
+    return rows.map(lambda body: _zipped({"xl/worksheets/sheet1.xml": f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'}))
 
 
 def _document(turns):
@@ -313,9 +315,11 @@ c AS (SELECT o, row_number() OVER (PARTITION BY o ORDER BY k) - 1 AS row, unnest
 SELECT o, cast(row AS integer) AS row, cast(cell AS integer) AS cell, text, row = 0 AS is_header FROM c""")
 def sheet_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Workbooks whose second column is left out: cells keep the places that their references say."""
-    i = _t(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("k")).agg(F.min("l_returnflag").alias("f"), F.min("l_quantity").cast("long").cast("string").alias("q"))
-    cell = lambda c, t: F.struct(F.lit(c).alias("col"), F.col(t).alias("text"))
-    books = i.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", F.array(cell(0, "f"), cell(2, "q")).alias("cells")))).alias("rows"))
+    i = _spread(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), "l_orderkey")
+    i = i.groupBy("l_orderkey", F.col("l_linenumber").alias("k")).agg(F.min("l_returnflag").alias("f"), F.min("l_quantity").cast("long").cast("string").alias("q"))
+    cell = lambda c, t: F.concat(F.lit(f'<c r="{c}'), "k", F.lit('" t="inlineStr"><is><t>'), F.coalesce(F.col(t), F.lit("None")), F.lit("</t></is></c>"))
+    row = F.concat(F.lit('<row r="'), "k", F.lit('">'), cell("A", "f"), cell("C", "q"), F.lit("</row>"))
+    books = i.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
     files = books.select(F.col("l_orderkey").cast("string").alias("path"), F.lit("xlsx").alias("route"), F.pandas_udf(_sheet, "binary")("rows").alias("content"))
     return readers.with_headers(readers.read_office(files)).select(F.col("path").cast("long").alias("o"), "row", "cell", "text", "is_header")
 
@@ -762,7 +766,7 @@ def _drawn(keys):
 
 @both("SELECT s_suppkey AS page, 'horizontal' AS orientation, 21.0e0 + s_suppkey % 50 AS axis, 10.0e0 AS start, 110.0e0 + s_suppkey % 100 AS stop FROM supplier UNION ALL SELECT s_suppkey, 'vertical', 226.5e0, 5.0e0, 85.0e0 + s_suppkey % 60 FROM supplier")
 def image_lines(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"), F.lit(240).alias("width"), F.lit(200).alias("height"), F.pandas_udf(_drawn, "binary")("s_suppkey").alias("pixels"))
+    pages = _spread(_t(spark, sf, "supplier").select("s_suppkey")).select(F.col("s_suppkey").alias("page"), F.lit(240).alias("width"), F.lit(200).alias("height"), F.pandas_udf(_drawn, "binary")("s_suppkey").alias("pixels"))
     return images.detect_lines(pages, 100.0).select("page", "orientation", "axis", "start", "stop")
 
 

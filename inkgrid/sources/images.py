@@ -48,7 +48,8 @@ def detect_lines(images: DataFrame, dpi: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for page, w, h, pixels in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for at in range(b.num_rows):  # one image at a time: a batch may have many
+                page, w, h, pixels = (c[at].as_py() for c in b.columns)
                 if not pixels or len(pixels) != w * h:
                     continue
                 mask = ink(np.frombuffer(pixels, np.uint8).reshape(h, w))

@@ -8,9 +8,11 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from io import BytesIO
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +114,8 @@ def stored_objects(files: DataFrame, name: str, at: str, unique: str, content: s
     return files.withColumns({"object_key": object_key(F.col(name), F.col(at), F.col(unique)), "checksum": F.sha2(body, 256), "n_bytes": F.octet_length(body)})
 
 
+#: Cells that a reader gives at once, about.
+CELLS = 1 << 12
 _BLOCKS = "path string, block int, block_type string, title string, row int, cell int, text string, confidence double, error string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -140,14 +144,22 @@ def _docx(data: bytes) -> Iterator[tuple]:
             row += 1
 
 
-def _column(reference: str) -> int:
-    """The column of a cell reference: of C7, 2."""
+_LETTERS, _SHEET = re.compile("[A-Za-z]*"), re.compile(r"xl/worksheets/sheet(\d+)\.xml")
+
+
+@lru_cache(1 << 12)
+def _place(letters: str) -> int:
     out = 0
-    for x in re.match("[A-Za-z]*", reference)[0].upper():
+    for x in letters.upper():
         out = 26 * out + ord(x) - 64
     return out - 1
 
 
+def _column(reference: str) -> int:
+    """The column of a cell reference: of C7, 2."""
+    return _place(_LETTERS.match(reference)[0])
+
+
 def _xlsx(data: bytes) -> Iterator[tuple]:
     """A block per sheet with its rows that are not empty."""
     book = zipfile.ZipFile(BytesIO(data))
@@ -155,17 +167,19 @@ def _xlsx(data: bytes) -> Iterator[tuple]:
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in si.iter(f"{_X}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_X}si")]
-    sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
+    sheets = sorted((n for n in names if _SHEET.fullmatch(n)), key=lambda n: int(_SHEET.fullmatch(n)[1]))
     for block, sheet in enumerate(sheets):
         row = 0
         for tr in ElementTree.fromstring(book.read(sheet)).iter(f"{_X}row"):
             cells: list[str | None] = []
             for c in tr.iter(f"{_X}c"):
                 v = c.find(f"{_X}v")
-                inline = "".join(t.text or "" for t in c.iter(f"{_X}t"))
                 at = _column(c.get("r")) if c.get("r") else len(cells)  # cells without contents may be left out
                 cells += [None] * (at - len(cells))
-                cells.append(shared[int(v.text)] if c.get("t") == "s" and v is not None else v.text if v is not None else inline)
+                if v is None:
+                    cells.append("".join(t.text or "" for t in c.iter(f"{_X}t")))
+                else:
+                    cells.append(shared[int(v.text)] if c.get("t") == "s" else v.text)
             if any(x and x.strip() for x in cells):
                 for k, x in enumerate(cells):
                     yield block, "table", sheet.rsplit("/", 1)[1], row, k, (x or "").strip()
@@ -194,20 +208,26 @@ def read_office(files: DataFrame, doc: Callable[[bytes], str] | None = None) ->
 
     parsers = {"docx": _docx, "xlsx": _xlsx, "text": _text, "doc": old}
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[k]) for n, k in (c.split() for c in _BLOCKS.split(", "))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        out: list[tuple] = []
         for b in batches:
-            out = []
-            for path, route, content in zip(b["path"], b["route"], b["content"], strict=True):
+            for at in range(b.num_rows):  # the cells of one file at a time, in batches of about CELLS
+                path, route, content = (c[at].as_py() for c in b.columns)
                 conf = CONFIDENCE["doc"] if route in ("text", "doc") else 1.0
                 try:
                     out += [(path, *cell, conf, None) for cell in parsers[route](bytes(content))]
                 except Exception as e:  # one bad file is one row
                     out.append((path, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _BLOCKS.split(", ")])
+                if len(out) >= CELLS:
+                    yield made(out)
+                    out = []
+        if out:
+            yield made(out)
 
-    return files.where(F.col("route").isin(*parsers)).select("path", "route", "content").mapInPandas(run, _BLOCKS)
+    return files.where(F.col("route").isin(*parsers)).select("path", "route", "content").mapInArrow(run, _BLOCKS)
 
 
 _TOKENS = "path string, page int, seq int, text string, x1 double, y1 double, x2 double, y2 double, page_w double, page_h double, confidence double, source string, error string"
