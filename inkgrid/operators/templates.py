@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 
 GRID = 10
+#: Counts of a cell, and words of 64 cells, that best_templates compares as bits.
+LEVELS, WORDS = 16, 2
 
 
 def density(regions: DataFrame, page_w: float, page_h: float, on: tuple[str, ...] = ("page",)) -> DataFrame:
@@ -48,26 +50,50 @@ def pair_drift(pairs: DataFrame, cells: DataFrame, sizes: DataFrame, key: str =
     return out.select("a", "b", F.round(score, 6).alias("drift")).withColumn("drift_class", drift_class(F.col("drift")))
 
 
+def _bits(cells: str, level: int, word: int) -> Column:
+    """The cells word * 64 to word * 64 + 63 of a map that have `level` regions or more, as bits."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (c - word * 64).cast("int"))
+    own = F.map_keys(F.map_filter(cells, lambda c, n: (n >= level) & c.between(word * 64, word * 64 + 63)))
+    return F.aggregate(own, F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(bit(c)))
+
+
 def best_templates(prints: DataFrame, templates: DataFrame, most: float = 0.3, limit: int = 1000) -> DataFrame:
     """The template of least drift for each layout, up to `most`. Templates are a library, dealt
-    into blocks of about `limit` as one array each. A library of one block is sent to all tasks;
-    of a larger one, each block meets each part of the layouts in a join, and the
-    minima are merged. Both sides: id, cells (map), regions, aspect."""
-    blocks = max(1, -(-templates.count() // limit))
+    into blocks of about `limit`. A library of one block is sent to all tasks; of a larger
+    one, each block meets each part of the layouts in a join. All pairs are compared, and only
+    the minima are kept: first the least drift, then the first template that has it.
+
+    Two maps differ by their sums less twice what they have in common, and that is the number
+    of common bits, of a word for each count up to LEVELS. Only a library with more than this
+    in a cell, or other cells than the words have, also compares the rest of its maps.
+    Both sides: id, cells (map of counts), regions, aspect."""
+    entries = F.map_entries("cells")
+    size = templates.agg(F.count(F.lit(1)), F.coalesce(F.max(F.array_max(entries["value"])), F.lit(0)), F.coalesce(F.max(F.array_max(entries["key"])), F.lit(0)), F.coalesce(F.min(F.array_min(entries["key"])), F.lit(0))).first()
+    blocks, levels, words = max(1, -(-size[0] // limit)), min(size[1], LEVELS), min(size[2] // 64 + 1, WORDS) if size[2] >= 0 else 0
+    rest = size[1] > levels or size[2] >= words * 64 or size[3] < 0
     parts = 1 if blocks == 1 else int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    library = templates.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(F.struct("id", "cells", "regions", "aspect")).alias("library")).withColumn("_part", numbers(parts))
-    dealt = prints.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("_block", numbers(blocks))
-    rows = dealt.join(F.broadcast(library) if blocks == 1 else library, ["_block", "_part"])
-
-    def one(t: Column) -> Column:
-        keys = F.array_union(F.map_keys("cells"), F.map_keys(t["cells"]))
-        gap = F.aggregate(keys, F.lit(0).cast("bigint"), lambda s, c: s + F.abs(F.coalesce(F.try_element_at(F.col("cells"), c), F.lit(0)) - F.coalesce(F.try_element_at(t["cells"], c), F.lit(0))))
-        return F.struct(F.round(drift(F.col("regions"), t["regions"], F.col("aspect"), t["aspect"], gap), 6).alias("drift"), t["id"].alias("template_id"))
-
-    best = rows.select("id", F.array_min(F.transform("library", one)).alias("b"))
-    best = best.where("b is not null").groupBy("id").agg(F.min("b").alias("b"))
-    return best.select("id", F.col("b.template_id").alias("template_id"), F.col("b.drift").alias("drift")).where(F.col("drift") <= most)
+    planes = [(level, word) for level in range(1, levels + 1) for word in range(words)]
+
+    def shaped(df: DataFrame, prefix: str) -> DataFrame:
+        more = F.map_filter(F.transform_values("cells", lambda c, n: F.when(c.between(0, words * 64 - 1), n - levels).otherwise(n)), lambda c, n: n > 0)
+        whole = F.aggregate(F.map_values("cells"), F.lit(0).cast("long"), lambda s, n: s + n)
+        own = [F.col(c).alias(f"{prefix}{c}") for c in ("id", "regions", "aspect")] + [whole.alias(f"{prefix}whole"), *[_bits("cells", *p).alias(f"{prefix}b{k}") for k, p in enumerate(planes)]]
+        return df.select(*own, *[more.alias(f"{prefix}rest")] * rest)
+
+    shared = F.lit(0).cast("long")
+    for k in range(len(planes)):
+        shared += F.bit_count(F.col(f"b{k}").bitwiseAND(F.col(f"t_b{k}"))).cast("long")
+    if rest:
+        shared += F.aggregate(F.map_keys("t_rest"), F.lit(0).cast("long"), lambda s, c: s + F.least(F.col("t_rest")[c], F.coalesce(F.try_element_at("rest", c), F.lit(0))).cast("long"))
+    score = F.round(drift(F.col("regions"), F.col("t_regions"), F.col("aspect"), F.col("t_aspect"), F.col("whole") + F.col("t_whole") - 2 * shared), 6)
+    library = shaped(templates, "t_").withColumn("_block", F.pmod(F.xxhash64("t_id"), F.lit(blocks)).cast("int")).withColumn("_part", numbers(parts))
+    library = F.broadcast(library) if blocks == 1 else library.hint("shuffle_hash")
+    layouts = shaped(prints, "").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    pairs = lambda df: df.withColumn("_block", numbers(blocks)).join(library, ["_block", "_part"])
+    least = pairs(layouts).groupBy("id").agg(F.min(score).alias("drift")).where(F.col("drift") <= most)
+    best = pairs(layouts.join(least, "id")).where(F.col("drift") == score)
+    return best.groupBy("id", "drift").agg(F.min("t_id").alias("template_id")).select("id", "template_id", "drift")
 
 
 def suggest_corrections(lineage: DataFrame, runs: DataFrame, most: float = 0.20) -> DataFrame:
