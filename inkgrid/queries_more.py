@@ -106,7 +106,7 @@ SELECT page, cls, n AS n_violations, count(*) AS pairs, round(sum(score), 2) AS
 def coordinate_firewall(spark: SparkSession, sf: str) -> DataFrame:
     t = _sided(tokens(spark, sf), F.split_part("token_id", F.lit("-"), F.lit(2)).cast("long"))
     out = align.checked_align(t, _sided(regions(spark, sf), F.col("region_id")))
-    return out.withColumn("score", F.round("score", 4)).groupBy("page", "cls", F.size("violations").alias("n_violations")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("score"), 2).alias("score"))
+    return out.withColumn("score", F.round("score", 4)).groupBy("page", "cls", F.size("violations").alias("n_violations")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum(F.col("score").cast("decimal(10,4)")), 2).cast("double").alias("score"))
 
 
 @both(with_views("""p AS (SELECT a.page, a.region_id AS a, b.region_id AS b, greatest(0.0e0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0e0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS common, (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ba FROM regions a JOIN regions b ON a.page = b.page AND a.region_id < b.region_id)
